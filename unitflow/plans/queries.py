@@ -432,9 +432,9 @@ def _spans(spark, d):
 
 @query
 def page_images(spark, d):
-    return writeback.page_images(fixtures.dense_images(fixtures.gap_docs(spark, d))).select(
-        "doc_id", "page", "img_idx", "xref", "y0", "width", "height"
-    )
+    kept = writeback.page_images(fixtures.dense_images(fixtures.gap_docs(spark, d)))
+    sizes = [F.col(c).cast("bigint").alias(c) for c in ("xref", "width", "height")]
+    return kept.select("doc_id", "page", "img_idx", "y0", *sizes)
 
 
 @query
