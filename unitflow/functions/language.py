@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from unitflow.functions.text import CYRILLIC, LATIN, is_blank, letters, split_lines, strip_ws
+from unitflow.functions.text import CYRILLIC, LATIN, letters, split_lines, strip_ws
 from unitflow.options import ENGLISH, RUSSIAN, SUPPORTED_SOURCES, VOTE_HEAD, pinned_source
 
 # --- Fixed values ------------------------------------------------------------------------------
@@ -17,20 +17,29 @@ RUSSIAN_LABEL = "ru"
 # ------------------------------------------------------------------------------------------------
 
 
-def text_profile(text: Column) -> Column:
-    """struct<n, cyr, lat, lettered>: all that the language rule asks of a text.
+def stripped_profile(body: Column) -> Column:
+    """struct<n, cyr, lat, lettered>: all that the language rule asks of a stripped text.
 
-    Counting once and deciding on the struct keeps each regular expression to one pass.
+    Latin letters only matter against Cyrillic ones. A text without Cyrillic is scanned, not
+    counted, and has both counts 0.
     """
-    body = strip_ws(F.coalesce(text, F.lit("")))
+    mixed = body.rlike(CYRILLIC)
     return F.struct(
         F.length(body).alias("n"),
-        letters(body, CYRILLIC).alias("cyr"),
-        letters(body, LATIN).alias("lat"),
+        F.when(mixed, letters(body, CYRILLIC)).otherwise(0).alias("cyr"),
+        F.when(mixed, letters(body, LATIN)).otherwise(0).alias("lat"),
         body.rlike("\\p{L}").alias("lettered"),
     )
 
 
+def text_profile(text: Column) -> Column:
+    """Profile of a text as it is.
+
+    Counting once and deciding on the struct keeps each regular expression to one pass.
+    """
+    return stripped_profile(strip_ws(F.coalesce(text, F.lit(""))))
+
+
 def mostly_cyrillic(profile: Column) -> Column:
     """Cyrillic leads clearly enough to decide without a detector."""
     cyr, lat = profile["cyr"], profile["lat"]
@@ -89,7 +98,17 @@ def document_source_of(
 
     Same result as ``operators.voting.document_source`` over the exploded units.
     """
-    voters = F.slice(F.filter(split_lines(text, breaks), lambda t: ~is_blank(t)), 1, head)
-    votes = F.transform(F.transform(voters, text_profile), lambda p: source_of(p, default))
-    count = lambda code: F.size(F.filter(votes, lambda v: v == code))
-    return winner(count(RUSSIAN), count(ENGLISH), default)
+    kept = F.filter(F.transform(split_lines(text, breaks), strip_ws), lambda t: t != "")
+    votes = F.transform(
+        F.transform(F.slice(kept, 1, head), stripped_profile), lambda p: source_of(p, default)
+    )
+    # one fold, so that the votes are taken once however often they are counted
+    return F.aggregate(
+        votes,
+        F.struct(F.lit(0).alias("ru"), F.lit(0).alias("en")),
+        lambda n, v: F.struct(
+            (n["ru"] + (v == RUSSIAN).cast("int")).alias("ru"),
+            (n["en"] + (v == ENGLISH).cast("int")).alias("en"),
+        ),
+        lambda n: winner(n["ru"], n["en"], default),
+    )

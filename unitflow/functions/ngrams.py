@@ -12,3 +12,8 @@ GRAM_PATTERNS = ("(?s)(.)", "(?s)(?=(..))", "(?s)(?=(...))")
 def char_grams(text: Column) -> Column:
     """All 1-, 2- and 3-character grams of a text, repeats included."""
     return F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in GRAM_PATTERNS])
+
+
+def longest_grams(text: Column) -> Column:
+    """The gram of up to 3 characters that begins at each position."""
+    return F.regexp_extract_all(text, F.lit("(?s)(?=(.{1,3}))"), F.lit(1))

@@ -10,8 +10,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import replace
+from itertools import batched, groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,20 +46,19 @@ def _load(key: str, pickled: bytes, options: Options) -> Translator:
     return _loaded[key]
 
 
-def translate_series(
-    texts: pd.Series, sources: pd.Series, fn: Translator, options: Options
-) -> pd.Series:
-    """One Arrow batch: per source, consecutive slices of ``batch_size``; empty in, empty out."""
-    out = pd.Series("", index=texts.index, dtype=object)
-    for source, group in texts[texts.fillna("") != ""].groupby(sources, sort=False):
-        for start in range(0, len(group), options.batch_size):
-            part = group.iloc[start : start + options.batch_size]
-            done = list(fn(part.tolist(), source, options.target))
+def translate_batch(
+    texts: Sequence[str], sources: Sequence[str], fn: Translator, options: Options
+) -> list[str]:
+    """One Arrow batch: calls of up to ``batch_size`` texts of one source; empty in, empty out."""
+    out = [""] * len(texts)
+    order = sorted((i for i, t in enumerate(texts) if t), key=sources.__getitem__)
+    for source, same in groupby(order, key=sources.__getitem__):
+        for part in batched(same, options.batch_size):
+            done = list(fn([texts[i] for i in part], source, options.target))
             if len(done) != len(part):
-                raise ValueError(
-                    f"translator returned {len(done)} texts for {len(part)}"
-                )
-            out.loc[part.index] = done
+                raise ValueError(f"translator returned {len(done)} texts for {len(part)}")
+            for i, text in zip(part, done):
+                out[i] = text
     return out
 
 
@@ -71,22 +71,27 @@ def translator_udf(make_translator: Factory, options: Options):
     pickled = cloudpickle.dumps(make_translator)
     key = hashlib.sha1(pickled + repr(options).encode()).hexdigest()
 
-    @F.pandas_udf(T.StringType())
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.StringType())
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         fn = _load(key, pickled, options)
         for texts, sources in batches:
-            yield translate_series(texts, sources, fn, options)
+            done = translate_batch(texts.to_pylist(), sources.to_pylist(), fn, options)
+            yield pa.array(done, pa.string())
 
     return run.asNondeterministic()
 
 
 def _checked(units: DataFrame) -> DataFrame:
-    """Fail on unsupported source codes where there is text to translate."""
+    """Fail on unsupported source codes.
+
+    The result cannot be null. A join on it would otherwise push a null test of the whole
+    detection down to the scan.
+    """
     bad = F.concat(F.lit("unsupported source: "), F.coalesce(F.col("src_lang"), F.lit("null")))
     checked = F.when(is_supported(F.col("src_lang")), F.col("src_lang")).otherwise(
         F.raise_error(bad).cast("string")
     )
-    return units.withColumn("src_lang", checked)
+    return units.withColumn("src_lang", F.coalesce(checked, F.lit("")))
 
 
 def translate_rows(
@@ -106,11 +111,13 @@ def translate_rows(
 
         def run(batches):
             fn = _load(key, pickled, opts)
-            for pdf in batches:
-                yield pdf.assign(_raw=translate_series(pdf["_body"], pdf["src_lang"], fn, opts))
+            for batch in batches:
+                texts, sources = (batch.column(c).to_pylist() for c in ("_body", "src_lang"))
+                done = translate_batch(texts, sources, fn, opts)
+                yield batch.append_column("_raw", pa.array(done, pa.string()))
 
         schema = T.StructType(body.schema.fields + [T.StructField("_raw", T.StringType())])
-        raw = body.mapInPandas(run, schema, profile=profile)
+        raw = body.mapInArrow(run, schema, profile=profile)
     done = raw.withColumn("translated", normalize_uz(F.col("_raw")))
     if opts.max_chars is not None:
         done = done.withColumn("over_limit", F.length("_body") > opts.max_chars)

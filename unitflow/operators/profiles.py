@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitflow.functions.language import needs_detector, source_of, text_profile
-from unitflow.functions.ngrams import char_grams
+from unitflow.functions.ngrams import char_grams, longest_grams
 from unitflow.options import ENGLISH
 from unitflow.session import materialise
 
@@ -18,11 +18,25 @@ SALTS = 64
 
 
 def gram_counts(docs: DataFrame, labels: Sequence[str], label: str = "lang") -> DataFrame:
-    """(gram, n_<label> ...): how often each gram occurs under each label."""
-    grams = docs.select(F.col(label).alias("_l"), F.explode(char_grams(F.col("text"))).alias("gram"))
-    return grams.groupBy("gram").agg(
+    """(gram, n_<label> ...): how often each gram occurs under each label.
+
+    Only the longest gram at each position is made and counted. A shorter gram occurs wherever a
+    longer one begins with it, so its count is a sum over the few distinct longer ones.
+    """
+    longest = docs.select(
+        F.col(label).alias("_l"), F.explode(longest_grams(F.col("text"))).alias("_g")
+    )
+    counted = longest.groupBy("_g").agg(
         *[F.count_if(F.col("_l") == name).alias(f"n_{name}") for name in labels]
     )
+    prefixes = F.transform(
+        F.sequence(F.lit(1), F.length("_g")), lambda k: F.substring("_g", F.lit(1), k)
+    )
+    return (
+        counted.withColumn("gram", F.explode(prefixes))
+        .groupBy("gram")
+        .agg(*[F.sum(f"n_{name}").alias(f"n_{name}") for name in labels])
+    )
 
 
 def train_profiles(docs: DataFrame, labels: Sequence[str], label: str = "lang") -> DataFrame:

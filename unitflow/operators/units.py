@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from unitflow.functions.text import is_blank, paragraph_text, split_lines
+from unitflow.operators.ordinals import ordinal, running_sum
 from unitflow.options import (
     DEFAULT_FONT_SIZE,
     KIND_PARAGRAPH,
@@ -53,8 +54,6 @@ def explode_paragraphs(
 
 def paragraph_units(paras: DataFrame) -> DataFrame:
     """Units of a paragraph table (doc_id, para_idx, loc, runs), blank paragraphs dropped."""
-    from unitflow.operators.ordinals import ordinal
-
     texts = paras.select(
         "doc_id", "para_idx", "loc", paragraph_text(F.col("runs")).alias("text")
     ).filter(~is_blank(F.col("text")))
@@ -69,66 +68,32 @@ def paragraph_units(paras: DataFrame) -> DataFrame:
     )
 
 
-def explode_spans(layout: DataFrame) -> DataFrame:
+PAGE_BLOCK = 4096  # pages per block of a document's running span count
+
+
+def explode_spans(layout: DataFrame, page_block: int = PAGE_BLOCK) -> DataFrame:
     """Span units of page layouts (doc_id, page, blocks): blank spans and non-text blocks dropped.
 
-    Spans are filtered and numbered inside the page row. Only one count per page is ranked
-    across pages: a page's first number is the spans on the pages before it.
+    Spans are filtered and numbered inside the page row. Across pages only a running count is
+    needed, so one shuffle of page rows numbers all spans.
     """
     text_blocks = F.filter(F.col("blocks"), lambda b: b["type"] == 0)
     lines = F.flatten(F.transform(text_blocks, lambda b: b["lines"]))
     spans = F.flatten(F.transform(lines, lambda x: x["spans"]))
     kept = F.filter(F.coalesce(spans, F.array()), lambda s: ~is_blank(s["text"]))
     pages = layout.select("doc_id", "page", kept.alias("_spans"))
-    offsets = page_offsets(pages.select("doc_id", "page", F.size("_spans").alias("_n")))
-    return (
-        pages.join(offsets, ["doc_id", "page"])
-        .select("doc_id", "page", "_first", F.posexplode("_spans").alias("_i", "_s"))
-        .select(
-            "doc_id",
-            (F.col("_first") + F.col("_i")).alias("unit_idx"),
-            F.concat(F.lit("pdf-"), F.col("_first") + F.col("_i")).alias("uid"),
-            F.lit(KIND_SPAN).alias("kind"),
-            "page",
-            F.col("_s.bbox").alias("bbox"),
-            F.coalesce(
-                F.nullif(F.col("_s.size"), F.lit(0.0)), F.lit(DEFAULT_FONT_SIZE)
-            ).alias("size"),
-            F.coalesce(F.col("_s.color"), F.lit(0)).alias("color"),
-            F.col("_s.text").alias("text"),
-        )
-    )
-
-
-PAGE_BLOCK = 4096
-
-
-def page_offsets(counts: DataFrame, block: int = PAGE_BLOCK) -> DataFrame:
-    """(doc_id, page, _n) -> (doc_id, page, _first): rows on all pages before this one.
-
-    Pages are summed by blocks first, so that a document with very many pages is not one
-    window partition.
-    """
-    blocked = counts.withColumn("_block", F.expr(f"page div {int(block)}"))
-    earlier = W.partitionBy("doc_id").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    blocks = (
-        blocked.groupBy("doc_id", "_block")
-        .agg(F.sum("_n").alias("_rows"))
-        .withColumn("_before", F.sum("_rows").over(earlier))
-        .filter(F.col("_before").isNotNull())
-        .select("doc_id", "_block", "_before")
-    )
-    inside = (
-        W.partitionBy("doc_id", "_block").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
-    )
-    return (
-        blocked.withColumn("_inside", F.coalesce(F.sum("_n").over(inside), F.lit(0)))
-        .join(blocks, ["doc_id", "_block"], "left")
-        .select(
-            "doc_id",
-            "page",
-            (F.col("_inside") + F.coalesce(F.col("_before"), F.lit(0))).alias("_first"),
-        )
+    placed = running_sum(pages, ["doc_id"], "page", F.size("_spans"), "_first", page_block)
+    listed = placed.select("doc_id", "page", "_first", F.posexplode("_spans").alias("_i", "_s"))
+    return listed.select(
+        "doc_id",
+        (F.col("_first") + F.col("_i")).alias("unit_idx"),
+        F.concat(F.lit("pdf-"), F.col("_first") + F.col("_i")).alias("uid"),
+        F.lit(KIND_SPAN).alias("kind"),
+        "page",
+        F.col("_s.bbox").alias("bbox"),
+        F.coalesce(F.nullif(F.col("_s.size"), F.lit(0.0)), F.lit(DEFAULT_FONT_SIZE)).alias("size"),
+        F.coalesce(F.col("_s.color"), F.lit(0)).alias("color"),
+        F.col("_s.text").alias("text"),
     )
 
 
@@ -153,11 +118,11 @@ def preview(df: DataFrame, n: int = PREVIEW_ROWS, width: int | None = None) -> D
     shown = ["text", "translated"] if both else ["text"]
     return (
         df.select("doc_id", "unit_idx", *shown)
-        .withColumn("row_no", rank.cast("bigint"))
-        .filter(F.col("row_no") <= n)
+        .withColumn("_rank", rank)
+        .filter(F.col("_rank") <= n)
         .select(
             "doc_id",
-            "row_no",
+            F.col("_rank").cast("bigint").alias("row_no"),
             *[F.substring(F.coalesce(F.col(c), F.lit("")), 1, width).alias(c) for c in shown],
         )
     )

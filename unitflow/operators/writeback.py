@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from unitflow.functions.text import final_text, replace_runs, strip_ws
 from unitflow.operators.joins import join_copies
-from unitflow.operators.ordinals import blocked_ordinal, largest_group, ordinal
+from unitflow.operators.ordinals import blocked_sum_before, largest_group, ordinal
 from unitflow.options import KIND_SPAN, PAGE_HEADING
 
 # --- Fixed values: simple pagination -----------------------------------------------------------
@@ -144,6 +144,13 @@ def page_items(
     return items
 
 
+def _biggest_page(units: DataFrame, images: DataFrame | None) -> int:
+    """Most units and images on one page, blank ones counted too."""
+    keys = [c for c in ("doc_id", "page") if c in units.columns]
+    most = largest_group(units, keys)
+    return most if images is None else most + largest_group(images, ["doc_id", "page"])
+
+
 def assemble_pages(
     units: DataFrame,
     images: DataFrame | None = None,
@@ -153,16 +160,18 @@ def assemble_pages(
     """(doc_id, page, part, break_before, n_items, text): pages as flowing text with headings.
 
     Blocks are ordered by height, at the same height text before images, then in their own
-    order. Where the biggest page has more than ``part_items`` blocks (checked by a count), blocks
-    are ranked without gathering a page, and long pages continue in parts 1, 2, ...
+    order. Where a page may have more than ``part_items`` blocks (checked by a count of the page
+    numbers alone), blocks are ranked without gathering a page, and long pages continue in parts
+    1, 2, ...
     """
     items = page_items(units, images, pages)
-    if largest_group(items, ["doc_id", "page"]) > part_items:
-        items = blocked_ordinal(
+    if _biggest_page(units, images) >= part_items:
+        items = blocked_sum_before(
             items,
             ["doc_id", "page"],
             ["y", "rank", "ord"],
             F.struct("y", "rank", F.expr(f"ord div {int(part_items)}").alias("b")),
+            F.lit(1),
             "_at",
         ).withColumn("part", F.expr(f"_at div {int(part_items)}"))
     else:

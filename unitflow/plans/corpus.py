@@ -18,7 +18,7 @@ from unitflow.operators.voting import (
 )
 from unitflow.operators.writeback import assemble_document, assemble_pages, write_back
 from unitflow.options import Options, pinned_source
-from unitflow.session import materialise, spread
+from unitflow.session import materialise
 
 
 def translate_paragraphs(
@@ -46,7 +46,7 @@ def translate_corpus(
 
     Documents without text give no row; ``voting.empty_documents`` lists them.
     """
-    given = spread(docs.select("doc_id", "text")).filter(~is_blank(F.col("text")))
+    given = docs.select("doc_id", "text").filter(~is_blank(F.col("text")))
     done = translate_paragraphs(given, make_translator, opts)
     # blank paragraphs keep their own text, so that the layout of the document stays
     placed = done.select(
@@ -76,7 +76,7 @@ def translate_paras(
     paras: DataFrame, make_translator: Factory, opts: Options = Options()
 ) -> DataFrame:
     """Paragraph table (doc_id, para_idx, loc, runs) with translated runs."""
-    units = with_voted_source(paragraph_units(paras), opts)
+    units = with_voted_source(materialise(paragraph_units(paras), "units"), opts)
     done = materialise(translate_units(units, make_translator, opts), "units")
     return write_back(paras, done)
 
@@ -84,8 +84,12 @@ def translate_paras(
 def translate_layout(
     layout: DataFrame, make_translator: Factory, opts: Options = Options()
 ) -> DataFrame:
-    """Page layouts to translated span units, written once for the plans that read them."""
-    units = with_voted_source(explode_spans(layout), opts)
+    """Page layouts to translated span units.
+
+    Units and results are written once each: votes, copies and the way back all read the first,
+    the plans behind read the second.
+    """
+    units = with_voted_source(materialise(explode_spans(layout), "units"), opts)
     return materialise(translate_units(units, make_translator, opts), "spans")
 
 

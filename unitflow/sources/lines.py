@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitflow.functions.text import RARE_LINE_BREAKS, is_blank, strip_ws
-from unitflow.operators.ordinals import blocked_ordinal
+from unitflow.operators.ordinals import blocked_sum_before
 
 
 def raw_lines(raw: DataFrame) -> DataFrame:
@@ -37,6 +37,6 @@ def read_lines(
         "value",
     )
     lines = raw_lines(placed).select("path", "_start", "_id", "_sub", text.alias("text"))
-    return blocked_ordinal(
-        lines, ["path"], ["_id", "_sub"], F.col("_start"), "line_idx"
+    return blocked_sum_before(
+        lines, ["path"], ["_id", "_sub"], F.col("_start"), F.lit(1), "line_idx"
     ).select("path", "line_idx", "text")
