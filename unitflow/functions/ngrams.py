@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# one pattern per gram length; a look-ahead takes overlapping grams in one pass over the text
-GRAM_PATTERNS = ("(?s)(.)", "(?s)(?=(..))", "(?s)(?=(...))")
+# One pattern per gram length. The look-ahead takes overlapping grams in one pass, and the dot
+# behind it steps over whole characters, not over halves of those outside the first plane.
+GRAM_PATTERNS = ("(?s)(.)", "(?s)(?=(..)).", "(?s)(?=(...)).")
+LONGEST_GRAMS = "(?s)(?=(.{1,3}))."
 
 
 def char_grams(text: Column) -> Column:
@@ -16,4 +18,4 @@ def char_grams(text: Column) -> Column:
 
 def longest_grams(text: Column) -> Column:
     """The gram of up to 3 characters that begins at each position."""
-    return F.regexp_extract_all(text, F.lit("(?s)(?=(.{1,3}))"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(LONGEST_GRAMS), F.lit(1))
