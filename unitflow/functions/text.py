@@ -47,15 +47,19 @@ def is_blank(text: Column) -> Column:
 
 
 def normalize_uz(text: Column) -> Column:
-    """ASCII apostrophes, quotes, hyphens and spaces; lost apostrophes restored. Idempotent."""
+    """ASCII apostrophes, quotes, hyphens and spaces; lost apostrophes restored. Idempotent.
+
+    Only texts with a question mark pay for the two patterns.
+    """
     mapped = F.translate(
         text,
         APOSTROPHES + QUOTES + DASHES + NO_BREAK_SPACE,
         "'" * len(APOSTROPHES) + '"' * len(QUOTES) + "-" * len(DASHES) + " ",
     )
-    return F.regexp_replace(
+    restored = F.regexp_replace(
         F.regexp_replace(mapped, LOST_AFTER_O_OR_G, "'"), LOST_BETWEEN_LETTERS, "'"
     )
+    return F.when(F.contains(text, F.lit("?")), restored).otherwise(mapped)
 
 
 def letters(text: Column, runs: str) -> Column:

@@ -74,6 +74,42 @@ def best_label(scores: dict[str, Column]) -> Column:
     return out
 
 
+def cumulated(profiles: DataFrame) -> DataFrame:
+    """Each gram with the summed scores of itself and of the shorter grams it begins with."""
+    labels = [c for c in profiles.columns if c != "gram"]
+    wide = profiles.select("gram", F.struct(*labels).alias("own"))
+    prefix = lambda k: F.when(F.length("gram") > k, F.substring("gram", 1, k))
+    out = wide.withColumn("_p1", prefix(1)).withColumn("_p2", prefix(2))
+    for p in ("_p1", "_p2"):
+        shorter = wide.select(F.col("gram").alias(p), F.col("own").alias(f"s{p}"))
+        out = out.join(shorter, p, "left")
+    total = lambda x: (
+        F.col(f"own.{x}")
+        + F.coalesce(F.col(f"s_p1.{x}"), F.lit(0))
+        + F.coalesce(F.col(f"s_p2.{x}"), F.lit(0))
+    )
+    return out.select("gram", *[total(x).alias(x) for x in labels])
+
+
+def _score_by_broadcast(grams: DataFrame, profiles: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """Rows of ``_g``, the longest gram at a position, scored by their longest known beginning.
+
+    The cumulated score of that beginning holds those of all known shorter ones, so it is the
+    score of the position. Shorter beginnings are looked up where longer ones were not found.
+    """
+    known = cumulated(profiles).select("gram", F.struct(*labels).alias("s"))
+    found = F.lit(None)
+    out = grams
+    for n in (3, 2, 1):
+        side = known.select(F.col("gram").alias(f"_k{n}"), F.col("s").alias(f"_s{n}"))
+        key = F.when(found.isNull(), F.substring("_g", 1, n)) if n < 3 else F.col("_g")
+        out = out.withColumn(f"_k{n}", key).join(F.broadcast(side), f"_k{n}", "left")
+        found = F.coalesce(found, F.col(f"_s{n}")) if n < 3 else F.col("_s3")
+    return out.withColumn("_s", found).filter(F.col("_s").isNotNull()).select(
+        *[c for c in grams.columns if c != "_g"], *[F.col(f"_s.{x}").alias(x) for x in labels]
+    )
+
+
 def classify(
     units: DataFrame,
     profiles: DataFrame,
@@ -87,10 +123,11 @@ def classify(
     is shuffled. A larger profile is joined by (gram, salt), for single letters are hot keys.
     """
     labels = [c for c in profiles.columns if c != "gram"]
-    grams = units.select(*keys, F.explode(char_grams(F.col("text"))).alias("gram"))
     if profiles.limit(broadcast_grams + 1).count() <= broadcast_grams:
-        scored = grams.join(F.broadcast(profiles), "gram")
+        grams = units.select(*keys, F.explode(longest_grams(F.col("text"))).alias("_g"))
+        scored = _score_by_broadcast(grams, profiles, labels)
     else:
+        grams = units.select(*keys, F.explode(char_grams(F.col("text"))).alias("gram"))
         salted = profiles.withColumn(
             "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
         )

@@ -110,19 +110,14 @@ def head_n(df: DataFrame, n: int, group: str = "doc_id", order: str = "unit_idx"
 def preview(df: DataFrame, n: int = PREVIEW_ROWS, width: int | None = None) -> DataFrame:
     """First rows of each document, cut to display width, with a 1-based row number.
 
-    Shows text and translation where there is one, else the text alone.
+    Shows text and translation where there is one, else the text alone. ``unit_idx`` has no gaps
+    (``ordinals.renumber`` restores that), so the rows are a filter that reaches the scan.
     """
     both = "translated" in df.columns
     width = width or (PREVIEW_RESULT_CHARS if both else PREVIEW_EXTRACT_CHARS)
-    rank = F.row_number().over(W.partitionBy("doc_id").orderBy("unit_idx"))
     shown = ["text", "translated"] if both else ["text"]
-    return (
-        df.select("doc_id", "unit_idx", *shown)
-        .withColumn("_rank", rank)
-        .filter(F.col("_rank") <= n)
-        .select(
-            "doc_id",
-            F.col("_rank").cast("bigint").alias("row_no"),
-            *[F.substring(F.coalesce(F.col(c), F.lit("")), 1, width).alias(c) for c in shown],
-        )
+    return df.filter(F.col("unit_idx") < n).select(
+        "doc_id",
+        (F.col("unit_idx") + 1).alias("row_no"),
+        *[F.substring(F.coalesce(F.col(c), F.lit("")), 1, width).alias(c) for c in shown],
     )

@@ -15,7 +15,6 @@ from unitflow.functions.language import (
     winner,
 )
 from unitflow.functions.text import is_blank
-from unitflow.operators.units import head_n
 from unitflow.options import ENGLISH, FILE_HEAD, RUSSIAN, VOTE_HEAD, Options, pinned_source
 
 
@@ -65,10 +64,14 @@ def with_document_source(docs: DataFrame, opts: Options, text: str = "text") ->
 def file_source(
     lines: DataFrame, head: int = FILE_HEAD, file: str = "path", idx: str = "line_idx"
 ) -> DataFrame:
-    """One source code per line file, from its first ``head`` lines joined by a space."""
-    first = head_n(lines.select(file, idx, "text"), head, file, idx)
-    joined = first.groupBy(file).agg(
-        F.array_sort(F.collect_list(F.struct(idx, "text"))).alias("_head")
+    """One source code per line file, from its first ``head`` lines joined by a space.
+
+    Lines are numbered without gaps, so the head is a filter.
+    """
+    joined = (
+        lines.filter(F.col(idx) < head)
+        .groupBy(file)
+        .agg(F.array_sort(F.collect_list(F.struct(idx, "text"))).alias("_head"))
     )
     sample = F.array_join(F.transform(F.col("_head"), lambda x: x["text"]), " ")
     return joined.select(file, detect_source(sample).alias("src_lang"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from unitflow.functions.text import final_text, is_blank
+from unitflow.functions.text import is_blank, normalize_uz
 from unitflow.operators.inference import Factory, translate_rows, translate_units
 from unitflow.operators.joins import join_copies
 from unitflow.operators.placement import layout_plan
@@ -48,12 +48,14 @@ def translate_corpus(
     """
     given = docs.select("doc_id", "text").filter(~is_blank(F.col("text")))
     done = translate_paragraphs(given, make_translator, opts)
-    # blank paragraphs keep their own text, so that the layout of the document stays
+    # Translations come normalised. Blank paragraphs keep their own text, so that the layout of
+    # the document stays.
     placed = done.select(
         "doc_id",
         "para_idx",
-        F.when(is_blank(F.col("text")), F.col("text"))
-        .otherwise(final_text(F.col("translated"), F.col("text")))
+        F.when(F.col("translated") != "", F.col("translated"))
+        .when(is_blank(F.col("text")), F.col("text"))
+        .otherwise(normalize_uz(F.col("text")))
         .alias("text"),
     )
     return assemble_document(placed)
