@@ -63,10 +63,11 @@ def running_sum(
 ) -> DataFrame:
     """Sum of ``weight`` before each row, by an integer position that is unique in the group.
 
-    Whether any group is longer than a block is asked of the positions alone, which a table
-    answers from its column statistics. If none is, one plain window does.
+    Whether any group can be longer than a block is asked of the highest position, which reads
+    that column alone. If none is, one plain window does.
     """
-    if df.select(pos).filter(F.col(pos) >= block_rows).isEmpty():
+    last = df.agg(F.max(pos)).first()[0]
+    if last is None or last < block_rows:
         return sum_before(df, group, [pos], weight, out)
     block = F.expr(f"{pos} div {int(block_rows)}")
     return blocked_sum_before(df, group, [pos], block, weight, out)

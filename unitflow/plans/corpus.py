@@ -61,17 +61,28 @@ def translate_corpus(
     return assemble_document(placed)
 
 
-def with_voted_source(units: DataFrame, opts: Options = Options()) -> DataFrame:
-    """Units with ``src_lang`` by the job's mode.
+def with_document_columns(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Join a table of one row per document to rows of any kind.
 
-    The vote is joined back per document. Each document's unit count travels with its vote, so
-    that a document with a large share of all units is salted.
+    Each document's row count travels with its row of the table, so that a document with a large
+    share of all rows is salted. Rows of documents that the table does not list are dropped.
+    """
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("_copies"))
+    return join_copies(rows, materialise(counts.join(table, "doc_id"), "documents"), ["doc_id"])
+
+
+def with_voted_source(
+    units: DataFrame, opts: Options = Options(), table: DataFrame | None = None
+) -> DataFrame:
+    """Units with ``src_lang`` by the job's mode; a vote is joined back per document.
+
+    ``table``: one row per document, whose columns come along in the same join.
     """
     if pinned_source(opts.source) or opts.mode == "per_unit":
-        return with_unit_source(units, opts.source)
-    counts = units.groupBy("doc_id").agg(F.count("*").alias("_copies"))
+        given = units if table is None else with_document_columns(units, table)
+        return with_unit_source(given, opts.source)
     votes = document_source(units).select("doc_id", "src_lang")
-    return join_copies(units, materialise(counts.join(votes, "doc_id"), "votes"), ["doc_id"])
+    return with_document_columns(units, votes if table is None else votes.join(table, "doc_id"))
 
 
 def translate_paras(

@@ -345,6 +345,27 @@ ORACLES: dict[str, str] = {
         from sourced""",
     "sink_roundtrip": f"""select *, case doc_id % 2 when 0 then 'docx' else 'pdf' end as out_format
         from ({CORPUS})""",
+    "translate_files": f"""{GAP_SPANS}, {RUNS}, {FILES},
+        routed as (select doc_id, reject_reason, concat(suffix, '>', out_format) as r from manifest),
+        texts as (select *, {strip("coalesce(array_to_string(runs, ''), '')")} <> '' as filled
+          from paras),
+        has_text as (
+          select doc_id from texts join routed using (doc_id) where filled and r like '.docx%'
+          union select doc_id from spans join routed using (doc_id) where r like '.pdf%'),
+        results as (
+          select 'replace_paragraphs' as writer, doc_id from texts join routed using (doc_id)
+          where r = '.docx>docx' and doc_id in (select doc_id from has_text)
+          union all select 'paginate_lines', doc_id from texts join routed using (doc_id)
+          where r = '.docx>pdf' and filled
+          union all select 'rebuild_pages', doc_id from (select distinct doc_id, i // 8 as page
+            from lines) join routed using (doc_id)
+          where r = '.pdf>docx' and doc_id in (select doc_id from has_text)
+          union all select 'replace_spans', doc_id from spans join routed using (doc_id)
+          where r = '.pdf>pdf'
+          union all select 'rejected', doc_id from routed
+          where reject_reason is not null or doc_id not in (select doc_id from has_text))
+        select writer, count(distinct doc_id) as n_docs, count(*) as n_rows
+        from results group by writer""",
     "reject_sources": f"""{DOC_LINES}, coded as (
         select case (doc_id + i) % 4 when 0 then {ENG} when 1 then {RUS}
           when 2 then 'deu_Latn' end as src_lang from lines)

@@ -20,7 +20,7 @@ from unitflow.operators import (
     writeback,
 )
 from unitflow.options import ENGLISH, RUSSIAN, Options
-from unitflow.plans import corpus, fixtures
+from unitflow.plans import corpus, files, fixtures
 from unitflow.session import fresh_path, materialise
 from unitflow.sources import docx, lines, manifest, sinks
 from unitflow.streaming import documents as document_stream
@@ -275,6 +275,29 @@ def sink_roundtrip(spark, d):
     return spark.read.parquet(path).select("doc_id", "part", "n_pieces", "text", "out_format")
 
 
+@query
+def translate_files(spark, d):
+    """Every document as a file by its manifest: result rows and documents of each writer."""
+    docs = fixtures.gap_docs(spark, d)
+    results = files.translate_files(
+        _files(spark, d),
+        fixtures.run_docs(docs),
+        fixtures.layout_docs(docs),
+        STUB,
+        images=fixtures.images(docs),
+    )
+    counted = [
+        df.select(F.lit(name).alias("writer"), "doc_id").groupBy("writer", "doc_id").count()
+        for name, df in results.items()
+    ]
+    union = counted[0]
+    for df in counted[1:]:
+        union = union.unionByName(df)
+    return union.groupBy("writer").agg(
+        F.count("*").alias("n_docs"), F.sum("count").alias("n_rows")
+    )
+
+
 # --- language -----------------------------------------------------------------------------------
 
 
