@@ -146,9 +146,13 @@ def page_items(
 
 def _biggest_page(units: DataFrame, images: DataFrame | None) -> int:
     """Most units and images on one page, blank ones counted too."""
-    keys = [c for c in ("doc_id", "page") if c in units.columns]
-    most = largest_group(units, keys)
-    return most if images is None else most + largest_group(images, ["doc_id", "page"])
+    page = F.coalesce(F.col("page"), F.lit(0)) if "page" in units.columns else F.lit(0)
+    placed = units.select("doc_id", page.cast("bigint").alias("page"))
+    if images is not None:
+        placed = placed.unionByName(
+            images.select("doc_id", F.col("page").cast("bigint").alias("page"))
+        )
+    return largest_group(placed, ["doc_id", "page"])
 
 
 def assemble_pages(

@@ -37,7 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def documents(spark: SparkSession, sf_dir: str, expr: str = "text", *more: str) -> DataFrame:
     """(doc_id, text, ...) with a derived text, spread over the cores."""
     columns = ["doc_id", "text"] + [c for c in ("lang", "source") if any(c in m for m in more)]
-    docs = spread(table(spark, sf_dir, "documents", *columns))
+    docs = spread(table(spark, sf_dir, "documents", *columns), "doc_id")
     return docs.selectExpr("doc_id", f"{expr} as text", *more)
 
 

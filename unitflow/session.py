@@ -60,13 +60,14 @@ def materialise(df: DataFrame, label: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rebalance a scan that has fewer splits than the cluster has cores.
 
     A small file arrives as one split and would leave all other cores idle through the
     expensive text work above it. A large table has more splits than cores and stays as it is.
+    ``df`` is a plain scan; its rows go by a hash of ``keys``, which costs no sort.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores)
+    return df.repartition(cores, *keys)
