@@ -143,6 +143,25 @@ def test_docx_folder_is_translated(spark, folder):
     assert texts[:5] == [mark + "one run two", "", mark + "x\ty", mark + "a", mark + "deep"]
 
 
+def test_layouts_are_read_with_a_fixed_schema(spark, tmp_path):
+    from unitflow.operators.units import explode_spans
+    from unitflow.sources.layout import read_images, read_layout
+
+    (tmp_path / "pages.json").write_text(
+        '{"doc_id": 1, "page": 0, "blocks": [{"type": 0, "lines": [{"spans": ['
+        '{"text": "a", "bbox": [0, 1, 2, 3], "size": 9.5, "color": 1, "flags": 4}]}, {}]}, '
+        '{"type": 0}, {"type": 1}]}\n'
+        '{"doc_id": 1, "page": 1, "blocks": null}\n'
+    )
+    got = explode_spans(read_layout(spark, str(tmp_path / "pages.json"), "json"))
+    assert rows(got, "unit_idx", "page", "bbox", "size", "color", "text") == [
+        (0, 0, [0.0, 1.0, 2.0, 3.0], 9.5, 1, "a")
+    ]
+    (tmp_path / "images.json").write_text('{"doc_id": 1, "page": 0, "xref": 3, "y0": 2}\n')
+    images = read_images(spark, str(tmp_path / "images.json"), "json")
+    assert rows(images, "xref", "y0", "width") == [(3, 2.0, None)]
+
+
 @pytest.mark.parametrize(
     "path, requested, out, want",
     [

@@ -99,31 +99,40 @@ def translate_rows(
 ) -> DataFrame:
     """Add ``translated`` to rows that have ``text`` and ``src_lang``; no shuffle.
 
-    ``profile``: a ResourceProfile (GPUs) for the Python stage.
+    ``profile``: a ResourceProfile (GPUs) for the Python stage, on clusters that offer them.
     """
     body = _checked(units).withColumn("_body", strip_ws(F.coalesce(F.col("text"), F.lit(""))))
     if profile is None:
-        udf = translator_udf(make_translator, opts)
-        raw = body.withColumn("_raw", udf("_body", "src_lang"))
+        raw = body.withColumn("_raw", translator_udf(make_translator, opts)("_body", "src_lang"))
     else:
-        pickled = cloudpickle.dumps(make_translator)
-        key = hashlib.sha1(pickled + repr(opts).encode()).hexdigest()
-
-        def run(batches):
-            fn = _load(key, pickled, opts)
-            for batch in batches:
-                texts, sources = (batch.column(c).to_pylist() for c in ("_body", "src_lang"))
-                done = translate_batch(texts, sources, fn, opts)
-                yield batch.append_column("_raw", pa.array(done, pa.string()))
-
-        schema = T.StructType(body.schema.fields + [T.StructField("_raw", T.StringType())])
-        raw = body.mapInArrow(run, schema, profile=profile)
+        raw = translate_stage(body, make_translator, opts, profile)
     done = raw.withColumn("translated", normalize_uz(F.col("_raw")))
     if opts.max_chars is not None:
         done = done.withColumn("over_limit", F.length("_body") > opts.max_chars)
     return done.drop("_body", "_raw")
 
 
+def translate_stage(
+    body: DataFrame, make_translator: Factory, opts: Options, profile=None
+) -> DataFrame:
+    """The plug-in as a stage of its own, which may have its own resources.
+
+    All columns pass through Python here; the column function above leaves them in the JVM.
+    """
+    pickled = cloudpickle.dumps(make_translator)
+    key = hashlib.sha1(pickled + repr(opts).encode()).hexdigest()
+
+    def run(batches):
+        fn = _load(key, pickled, opts)
+        for batch in batches:
+            texts, sources = (batch.column(c).to_pylist() for c in ("_body", "src_lang"))
+            done = translate_batch(texts, sources, fn, opts)
+            yield batch.append_column("_raw", pa.array(done, pa.string()))
+
+    schema = T.StructType(body.schema.fields + [T.StructField("_raw", T.StringType())])
+    return body.mapInArrow(run, schema, profile=profile)
+
+
 def translate_distinct(
     units: DataFrame,
     make_translator: Factory,

@@ -77,9 +77,11 @@ def explode_spans(layout: DataFrame, page_block: int = PAGE_BLOCK) -> DataFrame:
     Spans are filtered and numbered inside the page row. Across pages only a running count is
     needed, so one shuffle of page rows numbers all spans.
     """
-    text_blocks = F.filter(F.col("blocks"), lambda b: b["type"] == 0)
+    # a missing list holds nothing; flatten would lose the whole page over it
+    text_blocks = F.filter("blocks", lambda b: (b["type"] == 0) & b["lines"].isNotNull())
     lines = F.flatten(F.transform(text_blocks, lambda b: b["lines"]))
-    spans = F.flatten(F.transform(lines, lambda x: x["spans"]))
+    filled = F.filter(lines, lambda x: x["spans"].isNotNull())
+    spans = F.flatten(F.transform(filled, lambda x: x["spans"]))
     kept = F.filter(F.coalesce(spans, F.array()), lambda s: ~is_blank(s["text"]))
     pages = layout.select("doc_id", "page", kept.alias("_spans"))
     placed = running_sum(pages, ["doc_id"], "page", F.size("_spans"), "_first", page_block)

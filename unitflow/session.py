@@ -18,6 +18,8 @@ def get_session(app: str = "unitflow", master: str | None = None, **conf) -> Spa
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # whole files and long texts go to Python: bound batches by bytes, not by rows alone
+        "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
         "spark.python.worker.reuse": "true",
     }
     settings.update({k.replace("__", "."): str(v) for k, v in conf.items()})

@@ -12,9 +12,11 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from unitflow.functions.layout import loc_path
 
@@ -37,9 +39,6 @@ ROW = (
     "cells array<struct<r: int, c: int, n: int>>, p int, runs array<string>, error string"
 )
 
-FIELDS = ("para_idx", "region", "section", "tbl", "cells", "p", "runs", "error")
-
-
 def run_text(run: ElementTree.Element) -> str:
     out = []
     for child in run:
@@ -85,9 +84,9 @@ def table_paragraphs(table: ElementTree.Element, above: list) -> Iterator[tuple]
     for r, row in enumerate(grid(table)):
         for c, cell in enumerate(row):
             for p, paragraph in enumerate(cell.findall(f"{W}p")):
-                yield above + [(r, c, None)], p, paragraph
+                yield above + [{"r": r, "c": c, "n": None}], p, paragraph
             for n, nested in enumerate(cell.findall(f"{W}tbl")):
-                yield from table_paragraphs(nested, above + [(r, c, n)])
+                yield from table_paragraphs(nested, above + [{"r": r, "c": c, "n": n}])
 
 
 def related_parts(archive: zipfile.ZipFile) -> dict[str, str]:
@@ -136,23 +135,40 @@ def file_rows(content: bytes) -> list[tuple]:
         return [(None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
 
 
+FLUSH_ROWS = 4096  # paragraphs per batch that goes back to the JVM
+
+
 def parse_docx(files: DataFrame, doc: str = "doc_id", content: str = "content") -> DataFrame:
     """(doc_id, para_idx, loc, runs, error) of files given as (doc_id, content)."""
     key = files.schema[doc].dataType.simpleString()
+    schema = T.StructType.fromDDL(f"{doc} {key}, {ROW}")
+    arrow = to_arrow_schema(schema)
 
     def parse(batches):
-        for pdf in batches:
-            for name, data in zip(pdf[doc], pdf[content]):
-                rows = [(name, *row) for row in file_rows(data)]
-                yield pd.DataFrame(rows, columns=[doc, *FIELDS])
-
-    rows = files.select(doc, content).mapInPandas(parse, f"{doc} {key}, {ROW}")
+        rows = []
+        for batch in batches:
+            for name, data in zip(*(batch.column(c).to_pylist() for c in (doc, content))):
+                rows += [(name, *row) for row in file_rows(data)]
+                if len(rows) >= FLUSH_ROWS:
+                    yield to_batch(rows, arrow)
+                    rows = []
+        if rows:
+            yield to_batch(rows, arrow)
+
+    rows = files.select(doc, content).mapInArrow(parse, schema)
     loc = loc_path(F.col("region"), F.col("section"), F.col("tbl"), F.col("cells"), F.col("p"))
     return rows.select(
         doc, "para_idx", F.when(F.col("error").isNull(), loc).alias("loc"), "runs", "error"
     )
 
 
+def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(list(c), f.type) for c, f in zip(columns, schema)], schema=schema
+    )
+
+
 def docx_files(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of all .docx files below a folder."""
     return (
