@@ -16,6 +16,8 @@ def get_session(app: str = "unitflow", master: str | None = None, **conf) -> Spa
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # joins on whole texts: hashing beats sorting where every partition is seen to be small
+        "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         # whole files and long texts go to Python: bound batches by bytes, not by rows alone
