@@ -203,7 +203,6 @@ def read_lines(spark, d):
         F.sum("line_idx").alias("idx"),
         F.max("line_idx").alias("last"),
         F.sum(F.length("text")).cast("bigint").alias("chars"),
-        F.sum(F.crc32(F.encode("text", "utf-8"))).alias("crc"),
     )
     return per_file.groupBy(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source")).agg(
         F.sum("n").alias("n_lines"),
