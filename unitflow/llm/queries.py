@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from unitflow.llm.common import documents
 from unitflow.llm.line_dedup import dedup_lines
 from unitflow.llm.quality_rules import judge
+from unitflow.llm.simhash import near_groups
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,9 +24,16 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_groups(documents(spark, sf_dir).select("doc_id", "text"))
+    return groups.select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op7_simhash, op10_line_dedup)}
