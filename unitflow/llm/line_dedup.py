@@ -12,11 +12,12 @@ so a group is never larger than the lines of one text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from unitflow.llm.common import SPACE, ascii_lower, id_of, text_of
-from unitflow.session import fresh_path, materialise
+from unitflow.llm.common import SPACE, ascii_lower, id_of, let, text_of
+from unitflow.llm.runs import LevelledRuns, ascending
+from unitflow.session import materialise
 
 MIN_KEY = 10
 BATCHES = 4
@@ -28,44 +29,6 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACE)))
 
 
-class LineRuns:
-    """The runs of an index and their levels. Rows of a run: h1, h2, owner, last (long)."""
-
-    KEY = ["h1", "h2"]
-
-    def __init__(self, spark: SparkSession, fanout: int = FANOUT, path: str | None = None):
-        self.spark, self.fanout, self.made = spark, fanout, 0
-        self.path = path or fresh_path(spark, "line-runs")
-        self.runs: list[tuple[int, str]] = []  # (level, path), oldest first
-
-    def tables(self) -> list[DataFrame]:
-        return [self.spark.read.parquet(path) for _, path in self.runs]
-
-    def _write(self, rows: DataFrame, level: int) -> None:
-        path = f"{self.path}/level={level}-run={self.made}"
-        self.made += 1
-        rows.sortWithinPartitions(*self.KEY).write.parquet(path)
-        self.runs.append((level, path))
-
-    def add(self, keys: DataFrame) -> DataFrame:
-        """Write the keys that no run holds as a run of their own; gives that run."""
-        for run in self.tables():
-            keys = keys.join(run.select(*self.KEY), self.KEY, "left_anti")
-        self._write(keys, 0)
-        return self.tables()[-1]
-
-    def compact(self) -> None:
-        """Merge each full level into one run of the next. A key is in one run only, so this is a union."""
-        level = 0
-        while any(at >= level for at, _ in self.runs):
-            full = [path for at, path in self.runs if at == level]
-            if len(full) >= self.fanout:
-                self.runs = [run for run in self.runs if run[0] != level]
-                rows = self.spark.read.parquet(*full)
-                self._write(rows.repartition(*self.KEY), level + 1)
-            level += 1
-
-
 def _lines(docs: DataFrame, min_key: int) -> DataFrame:
     """(id, text hash, position, h1, h2) of each line whose key is long enough."""
     text = text_of()
@@ -88,7 +51,7 @@ def _lines(docs: DataFrame, min_key: int) -> DataFrame:
     )
 
 
-def add_batch(runs: LineRuns, docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
+def add_batch(runs: LevelledRuns, docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     """Add a batch to the runs; gives the lines that it loses: (id, version, pos).
 
     The batch's ids must be above those of earlier batches. Its lines are written once, in a narrow
@@ -127,18 +90,10 @@ def dedup_lines(
     table gives none. Adds (or replaces) ``n_lines`` and ``n_dropped`` (long).
     """
     spark = docs.sparkSession
-    runs = LineRuns(spark, fanout)
+    runs = LevelledRuns(spark, ["h1", "h2"], fanout)
     keyed = docs.select("doc_id", "text")
-    at = [i / batches for i in range(1, batches)]
-    cuts = keyed.select(F.percentile_approx(id_of(), at, 10_000)).first()[0] if at else []
-    cuts = sorted(set(cuts or []))
     lost = None
-    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        batch = keyed
-        if low is not None:
-            batch = batch.where(id_of() > low)
-        if high is not None:
-            batch = batch.where(id_of() <= high)
+    for batch in ascending(keyed, batches):
         part = add_batch(runs, batch, min_key)
         lost = part if lost is None else lost.union(part)
     lost = lost.groupBy(F.col("id").alias("__id"), F.col("version").alias("__version")).agg(
@@ -165,8 +120,6 @@ def dedup_lines(
 
 
 def _pick(lines: Column, at: Column) -> Column:
-    from unitflow.llm.common import let
-
     return let(
         F.struct(lines.alias("lines"), at.alias("at")),
         lambda v: F.array_join(F.transform(v["at"], lambda i: F.get(v["lines"], i)), "\n"),

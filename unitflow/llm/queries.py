@@ -9,6 +9,14 @@ from unitflow.llm.common import documents
 from unitflow.llm.line_dedup import dedup_lines
 from unitflow.llm.quality_rules import judge
 from unitflow.llm.simhash import near_groups
+from unitflow.llm.suffix_dedup import remove_repeats
+
+
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
+    return left.select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,4 +44,4 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op7_simhash, op10_line_dedup)}
+QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_quality_rules, op7_simhash, op10_line_dedup)}
