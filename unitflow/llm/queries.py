@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from unitflow.llm.bpe import encode_decode
 from unitflow.llm.common import documents
 from unitflow.llm.line_dedup import dedup_lines
 from unitflow.llm.quality_rules import judge
 from unitflow.llm.simhash import near_groups
 from unitflow.llm.suffix_dedup import remove_repeats
+from unitflow.llm.token_files import read_tokens, write_tokens
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +34,20 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(encode_decode(documents(spark, sf_dir).select("doc_id", "text")))
+
+
+def digests(coded: DataFrame) -> DataFrame:
+    """The query form of ``encode_decode``."""
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(documents(spark, sf_dir).select("doc_id", "text"))
     return groups.select(
@@ -39,9 +55,26 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_tokens(documents(spark, sf_dir).select("doc_id", "text"))
+    return read_tokens(manifest).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op2_suffix_dedup, op4_quality_rules, op7_simhash, op10_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op2_suffix_dedup,
+        op4_quality_rules,
+        op5_bpe,
+        op7_simhash,
+        op9_token_files,
+        op10_line_dedup,
+    )
+}
