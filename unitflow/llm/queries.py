@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from unitflow.llm.ann import nearest
 from unitflow.llm.bpe import encode_decode
 from unitflow.llm.common import documents
 from unitflow.llm.line_dedup import dedup_lines
@@ -55,6 +56,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_tokens(documents(spark, sf_dir).select("doc_id", "text"))
     return read_tokens(manifest).select(
@@ -74,6 +80,7 @@ QUERIES = {
         op4_quality_rules,
         op5_bpe,
         op7_simhash,
+        op8_ann,
         op9_token_files,
         op10_line_dedup,
     )
