@@ -9,6 +9,7 @@ from unitflow.llm.ann import nearest
 from unitflow.llm.bpe import encode_decode
 from unitflow.llm.common import documents
 from unitflow.llm.line_dedup import dedup_lines
+from unitflow.llm.quality_model import classify
 from unitflow.llm.quality_rules import judge
 from unitflow.llm.simhash import near_groups
 from unitflow.llm.suffix_dedup import remove_repeats
@@ -22,6 +23,10 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir).select("doc_id", "text")).select(
         "doc_id",
@@ -77,6 +82,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op2_suffix_dedup,
+        op3_quality_model,
         op4_quality_rules,
         op5_bpe,
         op7_simhash,
