@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from unitflow.llm.ann import nearest
 from unitflow.llm.bpe import encode_decode
 from unitflow.llm.common import documents
 from unitflow.llm.line_dedup import dedup_lines
+from unitflow.llm.mixing import mixing_rates
+from unitflow.llm.pii import counts_of, find_personal_data, spans_text
 from unitflow.llm.quality_model import classify
 from unitflow.llm.quality_rules import judge
 from unitflow.llm.simhash import near_groups
@@ -16,6 +19,17 @@ from unitflow.llm.suffix_dedup import remove_repeats
 from unitflow.llm.token_files import read_tokens, write_tokens
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(documents(spark, sf_dir).select("doc_id", "text"))
+    base, terms = F.col("base"), F.col("terms")
+    return found.select(
+        "doc_id",
+        *[n.alias(name) for name, n in counts_of(base).items()],
+        F.sha2(spans_text(base), 256).alias("base_sha256"),
+        spans_text(F.concat(base, terms)).alias("spans"),
+    )
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = remove_repeats(documents(spark, sf_dir).select("doc_id", "text"))
     return left.select(
@@ -54,6 +68,19 @@ def digests(coded: DataFrame) -> DataFrame:
     )
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return mixing_rates(docs, labelled).select(
+        "doc_id",
+        "n_tokens",
+        F.array_join(F.transform("p", lambda x: F.round(x, 6).cast("string")), " ").alias(
+            "membership"
+        ),
+        F.round("rate", 6).alias("rate"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_groups(documents(spark, sf_dir).select("doc_id", "text"))
     return groups.select(
@@ -81,13 +108,15 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_pii,
         op2_suffix_dedup,
         op3_quality_model,
         op4_quality_rules,
         op5_bpe,
+        op6_mixing,
         op7_simhash,
         op8_ann,
         op9_token_files,
         op10_line_dedup,
     )
-}
+} | {"pipeline": corpus_pipeline.run}
