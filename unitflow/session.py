@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def get_session(app: str = "unitflow", master: str | None = None, **conf) -> SparkSession:
@@ -53,15 +54,41 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/unitflow/{label}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, label: str = "table") -> DataFrame:
+def materialise(df: DataFrame, label: str = "table", *partition_by: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
     The table survives lost executors, keeps model output from being computed twice, and gives
-    Catalyst true sizes for its join choice.
+    Catalyst true sizes for its join choice. Shuffle files of the write are not needed after it and
+    are dropped at its end. ``discard`` deletes the table when nothing reads it any more.
     """
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    before = spark.conf.get(DROP_SHUFFLES, "false")
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        df.write.partitionBy(*partition_by).parquet(path)
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` has written; other DataFrames are left alone."""
+    for table in tables:
+        path = getattr(table, "written_to", None)
+        if path is not None:
+            remove(table.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``fresh_path`` has named."""
+    if "/unitflow/" not in path:
+        raise ValueError(f"{path} is no folder of this package")
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
