@@ -86,9 +86,18 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``fresh_path`` has named."""
     if "/unitflow/" not in path:
         raise ValueError(f"{path} is no folder of this package")
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    files, target = _located(spark, path)
+    files.delete(target, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, target = _located(spark, path)
+    return files.exists(target)
+
+
+def _located(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
