@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from unitflow.llm.common import id_of
-from unitflow.session import fresh_path
+from unitflow.session import exists, fresh_path, remove
 
 
 class LevelledRuns:
@@ -22,16 +23,30 @@ class LevelledRuns:
         self.spark, self.key, self.fanout, self.made = spark, key, fanout, 0
         self.path = fresh_path(spark, "runs")
         self.runs: list[tuple[int, str]] = []  # (level, path), oldest first
+        self.schema = None
 
     def tables(self) -> list[DataFrame]:
-        return [self.spark.read.parquet(path) for _, path in self.runs]
+        return [self._read(path) for _, path in self.runs]
+
+    def _read(self, *paths: str) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*paths)
 
     def _write(self, rows: DataFrame, level: int) -> None:
         path = f"{self.path}/level={level}-run={self.made}"
+        self.schema = rows.schema
         self.made += 1
         rows.sortWithinPartitions(*self.key).write.parquet(path)
         self.runs.append((level, path))
 
+    def adopt(self, path: str, schema: StructType) -> None:
+        """Take a table of new keys, already sorted by them within its files, as a run of level 0.
+
+        A batch without a new key has written no folder and is no run.
+        """
+        if exists(self.spark, path):
+            self.schema = schema
+            self.runs.append((0, path))
+
     def add(self, rows: DataFrame) -> DataFrame:
         """Write the rows whose key no run holds as a run of their own; gives that run."""
         for run in self.tables():
@@ -39,6 +54,12 @@ class LevelledRuns:
         self._write(rows, 0)
         return self.tables()[-1]
 
+    def drop(self) -> None:
+        """Delete all runs."""
+        for _, path in self.runs:
+            remove(self.spark, path)
+        self.runs = []
+
     def compact(self) -> None:
         """Merge each full level into one run of the next; keys are unique, so this is a union."""
         level = 0
@@ -46,19 +67,22 @@ class LevelledRuns:
             full = [path for at, path in self.runs if at == level]
             if len(full) >= self.fanout:
                 self.runs = [run for run in self.runs if run[0] != level]
-                self._write(self.spark.read.parquet(*full).repartition(*self.key), level + 1)
+                self._write(self._read(*full).repartition(*self.key), level + 1)
+                for path in full:
+                    remove(self.spark, path)
             level += 1
 
 
-def ascending(docs: DataFrame, batches: int) -> Iterator[DataFrame]:
-    """``docs`` in batches of about equal size, by ascending ``doc_id`` (null last)."""
+def ascending(docs: DataFrame, batches: int, key: Column | None = None) -> Iterator[DataFrame]:
+    """``docs`` in batches of about equal size, by ascending ``key`` (default: ``doc_id``, null last)."""
+    key = id_of() if key is None else key
     at = [i / batches for i in range(1, batches)]
-    cuts = docs.select(F.percentile_approx(id_of(), at, 10_000)).first()[0] if at else []
+    cuts = docs.select(F.percentile_approx(key, at, 10_000)).first()[0] if at else []
     cuts = sorted(set(cuts or []))
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
         batch = docs
         if low is not None:
-            batch = batch.where(id_of() > low)
+            batch = batch.where(key > low)
         if high is not None:
-            batch = batch.where(id_of() <= high)
+            batch = batch.where(key <= high)
         yield batch

@@ -41,7 +41,7 @@ SEEKABLE = 0x8F92EAB1
 
 _MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, first_id long, last_id long"
 #: White space at which a text is not cut before it is handed to the tokenizer.
-_ODD_SPACE = re.compile(
+_ODD_SPACE = (
     "[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 )
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
@@ -51,36 +51,63 @@ class Tokens:
     """Packs texts as 32-bit ids with the tokenizers library.
 
     The tokenizer's own pattern never joins what comes before a space or line end to what follows, so a text
-    is cut there and each distinct part is encoded once by the library and remembered (bounded).
-    Texts with other white space are encoded whole.
+    is cut there; a part that is new is cut by the pattern, and each distinct piece is encoded once by the
+    library's model and remembered (bounded; forgetting changes no result). Texts with other white space or
+    with a special token's string go to the library whole.
     """
 
     def __init__(self, path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        self.model = self.tokenizer.model
+        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.letters = _byte_letters(ByteLevel.alphabet())
+        special = self.tokenizer.get_added_tokens_decoder().values()
+        marks = "|".join(re.escape(t.content) for t in special)
+        self.whole = re.compile(_ODD_SPACE + (f"|{marks}" if marks else ""))
+        self.parts: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _encode_piece(self, piece: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, parts: set[str]) -> None:
+        new = {part: self.pattern.findall(part) for part in parts - self.parts.keys()}
+        pieces = {p for found in new.values() for p in found}
+        if len(self.parts) + len(new) > CACHED:
+            self.parts = {part: self.parts[part] for part in parts if part in self.parts}
+        if len(self.pieces) + len(pieces) > CACHED:
+            self.pieces = {p: self.pieces[p] for p in pieces if p in self.pieces}
+        for piece in pieces - self.pieces.keys():
+            self.pieces[piece] = self._encode_piece(piece)
+        get = self.pieces.__getitem__
+        self.parts.update((part, b"".join(map(get, found))) for part, found in new.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [None if _ODD_SPACE.search(t) else _UNIT.findall(t) for t in texts]
-        units = {u for part in parts if part for u in part}
-        new = list(units - self.known.keys())
-        if len(self.known) + len(new) > CACHED:
-            self.known = {u: self.known[u] for u in units if u in self.known}
-        for low in range(0, len(new), 1000):
-            some = new[low : low + 1000]
-            self.known.update(zip(some, self._encode(some), strict=True))
-        whole = iter(self._encode([t for t, p in zip(texts, parts, strict=True) if p is None]))
-        get = self.known.__getitem__
-        return [next(whole) if p is None else b"".join(map(get, p)) for p in parts]
+        cut = [None if self.whole.search(t) else _UNIT.findall(t) for t in texts]
+        self._learn({part for own in cut if own for part in own})
+        get = self.parts.__getitem__
+        out = []
+        for text, own in zip(texts, cut, strict=True):
+            if own is None:
+                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+                out.append(struct.pack(f"<{len(ids)}I", *ids))
+            else:
+                out.append(b"".join(map(get, own)))
+        return out
+
+
+def _byte_letters(alphabet: list[str]) -> dict[int, str]:
+    """The letter that stands for each byte: itself where it is printable, the rest in order of code point."""
+    plain = {ord(c) for c in alphabet if ord(c) < 256}
+    rest = iter(sorted(c for c in alphabet if ord(c) >= 256))
+    return {b: chr(b) if b in plain else next(rest) for b in range(256)}
 
 
 _WORKER: dict[str | None, Tokens] = {}
