@@ -159,27 +159,32 @@ def fit_rates(
     return history
 
 
+def _fitted(docs: DataFrame, labelled: DataFrame, domain: str, weights: dict[str, float] | None):
+    """The classifier, the written table (doc_id, n_tokens, p), and the steps."""
+    domains = learn_domains(docs, labelled, domain)
+    narrow = materialise(memberships(docs, domains).select("doc_id", "n_tokens", "p"), "memberships")
+    wanted = weights and [float(weights.get(name, 0.0)) for name in domains.names]
+    history = fit_rates(narrow, len(domains.names), wanted) if domains.names else []
+    return domains, narrow, history
+
+
 def mixing_rates(
     docs: DataFrame,
     labelled: DataFrame,
     domain: str = "lang",
     weights: dict[str, float] | None = None,
 ) -> DataFrame:
-    """All columns of ``docs`` plus ``n_tokens``, ``p`` (by domain name, ascending) and ``rate``.
+    """(doc_id, n_tokens, p, rate) of each row of ``docs``; ``p`` is by domain name, ascending.
 
     ``domain`` is the column whose values are the domains, ``labelled`` a table whose ``doc_id`` values name the
     documents to learn from, ``weights`` the wanted share of tokens of each domain (default: equal; a
     domain that is not named: 0). A null text has no words, the prior as membership and a rate like any
     other; repeated rows get equal rates; an empty table gives none. Without a labelled document every
-    rate is 1 and ``p`` is empty. Input columns of the new names are replaced.
+    rate is 1 and ``p`` is empty. Other columns are not looked at. A text is classified once.
     """
-    docs = docs.drop("n_tokens", "p", "rate")
-    domains = learn_domains(docs, labelled, domain)
-    found = memberships(docs, domains)
-    narrow = materialise(found.select("n_tokens", "p"), "memberships")
-    wanted = weights and [float(weights.get(name, 0.0)) for name in domains.names]
-    history = fit_rates(narrow, len(domains.names), wanted) if domains.names else []
-    return found.withColumn("rate", rate_of(F.col("p"), history))
+    docs = docs.select("doc_id", "text", F.col(domain).alias("domain"))
+    _, narrow, history = _fitted(docs, labelled, "domain", weights)
+    return narrow.withColumn("rate", rate_of(F.col("p"), history))
 
 
 def copies_of(rate: Column, *key: Column) -> Column:
@@ -190,12 +195,12 @@ def copies_of(rate: Column, *key: Column) -> Column:
 
 def mix(docs: DataFrame, labelled: DataFrame, domain: str = "lang", weights=None) -> DataFrame:
     """The rows of ``docs``, each as often as its rate says; columns as they are."""
-    rated = mixing_rates(
-        docs.select(F.struct("*").alias("__row"), "doc_id", "text", F.col(domain).alias("__domain")),
-        labelled,
-        "__domain",
-        weights,
+    rows = docs.select(
+        F.struct("*").alias("__row"), "doc_id", "text", F.col(domain).alias("domain")
     )
+    domains, _, history = _fitted(rows.drop("__row"), labelled, "domain", weights)
+    # classified again rather than joined: that would shuffle all texts
+    rated = memberships(rows, domains).withColumn("rate", rate_of(F.col("p"), history))
     times = F.sequence(F.lit(1), copies_of(F.col("rate"), F.col("doc_id"), F.xxhash64(text_of())))
     taken = rated.where(copies_of(F.col("rate"), F.col("doc_id"), F.xxhash64(text_of())) > 0)
     return taken.withColumn("__time", F.explode(times)).select("__row.*")

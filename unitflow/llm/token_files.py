@@ -31,7 +31,7 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 FILE_BYTES = 64 << 20  # of ids before compression
 LEVEL = 3
-CACHED = 400_000
+CACHED = 600_000
 READ_BYTES = 4 << 20
 
 #: Fixed values of the seekable format.
