@@ -15,6 +15,7 @@ import base64
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ from unitflow.llm.common import text_of
 VOCABULARY = "byte_bpe_50k.tiktoken"
 BATCH_CHARS = 2_000_000  # text that is encoded at a time
 LONG = 1 << 20  # code points from which a text is split piece by piece
-CACHED = 300_000  # pieces that a worker remembers
-SHORT = 48  # bytes up to which all rounds of a word are kept until the end
+CACHED = 1_000_000  # pieces that a worker remembers
+SHORT = 128  # bytes up to which all rounds of a word are kept until the end
 
 _MERGES = """
 create table merges as
@@ -96,7 +97,12 @@ class DuckBpe:
         self.con.register("vocab_rows", vocab)
         self.con.execute("create table vocab as select * from vocab_rows")
         self.con.execute(_MERGES)
-        self.of_byte = {t[0]: i for t, i in zip(tokens, ids, strict=True) if len(t) == 1}
+        self.of_byte = np.zeros(256, dtype=np.int32)
+        for token, i in zip(tokens, ids, strict=True):
+            if len(token) == 1:
+                self.of_byte[token[0]] = i
+        # a piece that is a token needs no contraction
+        self.tokens = {t: i.to_bytes(4, "little") for t, i in zip(tokens, ids, strict=True)}
         self.pattern, self.cached = regex.compile(pattern), cached
         self.known: dict[str, bytes] = {}
 
@@ -112,12 +118,13 @@ class DuckBpe:
         """The ids of each word, packed as 32-bit integers."""
         if not words:
             return []
-        lengths = [len(w) for w in words]
+        lengths = np.array([len(w) for w in words])
+        ends = np.cumsum(lengths)
         start = pa.table(
             {
-                "w": pa.array([w for w, n in enumerate(lengths) for _ in range(n)], pa.int32()),
-                "pos": pa.array([p for n in lengths for p in range(n)], pa.int32()),
-                "tok": pa.array([self.of_byte[b] for w in words for b in w], pa.int32()),
+                "w": np.repeat(np.arange(len(words), dtype=np.int32), lengths),
+                "pos": (np.arange(ends[-1]) - np.repeat(ends - lengths, lengths)).astype(np.int32),
+                "tok": self.of_byte[np.frombuffer(b"".join(words), dtype=np.uint8)],
             }
         )
         self.con.register("start", start)
@@ -134,13 +141,14 @@ class DuckBpe:
         new = pieces - self.known.keys()
         if len(self.known) + len(new) > self.cached:
             self.known = {p: self.known[p] for p in pieces - new}
+        raw = {p: p.encode() for p in new}
+        self.known.update((p, self.tokens[b]) for p, b in raw.items() if b in self.tokens)
+        open_ = [p for p, b in raw.items() if b not in self.tokens]
         for query, some in (
-            (_SHORT_WORDS, [p for p in new if len(p) * 4 <= SHORT]),
-            (_LONG_WORDS, [p for p in new if len(p) * 4 > SHORT]),
+            (_SHORT_WORDS, [p for p in open_ if len(raw[p]) <= SHORT]),
+            (_LONG_WORDS, [p for p in open_ if len(raw[p]) > SHORT]),
         ):
-            self.known.update(
-                zip(some, self._contract([p.encode() for p in some], query), strict=True)
-            )
+            self.known.update(zip(some, self._contract([raw[p] for p in some], query), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, packed as little-endian 32-bit integers."""
@@ -158,15 +166,13 @@ class DuckBpe:
             for part in self.pieces(text):
                 held.append((i, part))
                 size += len(part)
-                if size >= BATCH_CHARS // 8:
+                if size >= BATCH_CHARS:
                     flush()
                     held, size = [], 0
         flush()
         return out
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
-        import numpy as np
-
         lengths = np.array([len(p) // 4 for p in packed])
         doc = np.repeat(np.arange(len(packed), dtype=np.int32), lengths)
         ids = np.frombuffer(b"".join(packed), dtype="<i4")
