@@ -196,9 +196,13 @@ def translate_text(
     make_translator: Factory,
     opts: Options = Options(),
 ) -> DataFrame:
-    """Translate one string, an iterable of strings, or the ``text`` column of a DataFrame."""
+    """Translate one string, an iterable of strings, or the ``text`` column of a DataFrame.
+
+    Strings pass through the driver and are numbered by ``idx``; their rows come back in that order, as
+    nothing moves them. A sort would run the model once more to find its ranges.
+    """
     if isinstance(texts, DataFrame):
         return translate_units(texts, make_translator, opts)
     rows = [texts] if isinstance(texts, str) else list(texts)
     df = spark.createDataFrame(list(enumerate(rows)), "idx bigint, text string")
-    return translate_rows(with_unit_source(df, opts.source), make_translator, opts).orderBy("idx")
+    return translate_rows(with_unit_source(df, opts.source), make_translator, opts)

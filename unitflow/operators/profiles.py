@@ -123,7 +123,7 @@ def classify(
     is shuffled. A larger profile is joined by (gram, salt), for single letters are hot keys.
     """
     labels = [c for c in profiles.columns if c != "gram"]
-    if profiles.limit(broadcast_grams + 1).count() <= broadcast_grams:
+    if profiles.count() <= broadcast_grams:
         grams = units.select(*keys, F.explode(longest_grams(F.col("text"))).alias("_g"))
         scored = _score_by_broadcast(grams, profiles, labels)
     else:

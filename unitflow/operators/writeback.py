@@ -65,7 +65,9 @@ def assemble_document(
         "doc_id",
         F.col("part").cast("bigint").alias("part"),
         F.size("_pieces").cast("bigint").alias("n_pieces"),
-        F.array_join(F.transform("_pieces", lambda p: p[text]), sep).alias("text"),
+        F.array_join(
+            F.transform("_pieces", lambda p: F.coalesce(p[text], F.lit(""))), sep
+        ).alias("text"),
     )
 
 
@@ -118,7 +120,8 @@ def page_items(
         spine = texts.select("doc_id", "page").distinct()
     else:
         spine = pages.select(
-            "doc_id", F.explode(F.expr("sequence(0L, n_pages - 1L)")).alias("page")
+            "doc_id",
+            F.explode(F.expr("if(n_pages > 0, sequence(0L, n_pages - 1L), null)")).alias("page"),
         )
     items = texts.filter(F.col("payload") != "").unionByName(
         spine.select(

@@ -54,6 +54,7 @@ def run_text(run: ElementTree.Element) -> str:
 def grid(table: ElementTree.Element) -> list[list[ElementTree.Element]]:
     """Cells by row and grid column: a spanning cell repeats, a merged one is the cell above."""
     rows: list[list[ElementTree.Element]] = []
+    lead_above = 0
     for tr in table.findall(f"{W}tr"):
         row: list[ElementTree.Element] = []
         skip = tr.find(f"{W}trPr/{W}gridBefore")
@@ -64,10 +65,11 @@ def grid(table: ElementTree.Element) -> list[list[ElementTree.Element]]:
             width = int(span.get(f"{W}val", "1")) if span is not None else 1
             cell, at = tc, lead + len(row)
             if merge is not None and merge.get(f"{W}val", "continue") == "continue" and rows:
-                above = rows[-1]
-                cell = above[at - lead] if at - lead < len(above) else tc
+                above, place = rows[-1], at - lead_above
+                cell = above[place] if 0 <= place < len(above) else tc
             row.extend([cell] * width)
         rows.append(row)
+        lead_above = lead
     return rows
 
 
@@ -131,7 +133,7 @@ def file_rows(content: bytes) -> list[tuple]:
             (i, region, section, t, cells, p, [run_text(r) for r in paragraph.findall(f"{W}r")], None)
             for i, (region, section, t, cells, p, paragraph) in enumerate(paragraphs(content))
         ]
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, AttributeError) as e:
+    except Exception as e:  # damaged streams, odd numbers, encryption: one file never ends the job
         return [(None, None, None, None, None, None, None, f"{type(e).__name__}: {e}")]
 
 

@@ -46,7 +46,7 @@ def plan_manifest(files: DataFrame, path: str = "path", requested: str = "reques
     supported = suffix.isin(*[f".{f}" for f in FORMATS])
     known = wish.isin("auto", *FORMATS)
     reason = F.when(~supported, "unsupported input").when(~known, "unknown output format")
-    fmt = F.when(wish == "auto", F.substring(suffix, 2, 16)).otherwise(wish)
+    fmt = F.when(wish == "auto", F.substr(suffix, F.lit(2))).otherwise(wish)
     default = F.concat(
         path_folder(F.col(path)), path_stem(F.col(path)), F.lit(OUTPUT_SUFFIX), F.lit("."), fmt
     )
