@@ -16,7 +16,8 @@ import os
 import re
 import struct
 import uuid
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -31,7 +32,8 @@ VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 FILE_BYTES = 64 << 20  # of ids before compression
 LEVEL = 3
-CACHED = 600_000
+CACHED = 600_000  # strings remembered, each of at most CACHED_CHARS
+CACHED_CHARS = 64
 READ_BYTES = 4 << 20
 
 #: Fixed values of the seekable format.
@@ -47,13 +49,29 @@ _ODD_SPACE = (
 _UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
 
+class _Coded(dict):
+    """What ``code`` gives for each string, remembered for short ones; ``bound`` forgets, which changes no result."""
+
+    def __init__(self, code: Callable[[str], bytes]):
+        self.code = code
+
+    def __missing__(self, key: str) -> bytes:
+        out = self.code(key)
+        if len(key) <= CACHED_CHARS:
+            self[key] = out
+        return out
+
+    def bound(self) -> None:
+        if len(self) > CACHED:
+            self.clear()
+
+
 class Tokens:
     """Packs texts as 32-bit ids with the tokenizers library.
 
     The tokenizer's own pattern never joins what comes before a space or line end to what follows, so a text
-    is cut there; a part that is new is cut by the pattern, and each distinct piece is encoded once by the
-    library's model and remembered (bounded; forgetting changes no result). Texts with other white space or
-    with a special token's string go to the library whole.
+    is cut there; a part that is new is cut by the pattern, and a piece that is new is encoded by the
+    library's model. Texts with other white space or with a special token's string go to the library whole.
     """
 
     def __init__(self, path: str | None):
@@ -70,37 +88,36 @@ class Tokens:
         special = self.tokenizer.get_added_tokens_decoder().values()
         marks = "|".join(re.escape(t.content) for t in special)
         self.whole = re.compile(_ODD_SPACE + (f"|{marks}" if marks else ""))
-        self.parts: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = _Coded(self._encode_piece)
+        self.parts = _Coded(self._encode_part)
+        self.led = _Coded(self._encode_led)
 
     def _encode_piece(self, piece: str) -> bytes:
-        ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _learn(self, parts: set[str]) -> None:
-        new = {part: self.pattern.findall(part) for part in parts - self.parts.keys()}
-        pieces = {p for found in new.values() for p in found}
-        if len(self.parts) + len(new) > CACHED:
-            self.parts = {part: self.parts[part] for part in parts if part in self.parts}
-        if len(self.pieces) + len(pieces) > CACHED:
-            self.pieces = {p: self.pieces[p] for p in pieces if p in self.pieces}
-        for piece in pieces - self.pieces.keys():
-            self.pieces[piece] = self._encode_piece(piece)
-        get = self.pieces.__getitem__
-        self.parts.update((part, b"".join(map(get, found))) for part, found in new.items())
+        letters = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _encode_part(self, part: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(part)))
+
+    def _encode_led(self, word: str) -> bytes:
+        # the pattern takes a space and the letters behind it as one piece
+        plain = word.isascii() and word.isalpha()
+        return self.pieces[f" {word}"] if plain else self._encode_part(f" {word}")
+
+    def _encode(self, text: str) -> bytes:
+        if self.whole.search(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        bounds = text[:1] == " " or text[-1:] == " "
+        if bounds or "  " in text or "\n " in text or " \n" in text:
+            return b"".join(map(self.parts.__getitem__, _UNIT.findall(text)))
+        # single spaces between other characters: each is the first of the part behind it
+        first, *rest = text.split(" ")
+        return self._encode_part(first) + b"".join(map(self.led.__getitem__, rest))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [None if self.whole.search(t) else _UNIT.findall(t) for t in texts]
-        self._learn({part for own in cut if own for part in own})
-        get = self.parts.__getitem__
-        out = []
-        for text, own in zip(texts, cut, strict=True):
-            if own is None:
-                ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-                out.append(struct.pack(f"<{len(ids)}I", *ids))
-            else:
-                out.append(b"".join(map(get, own)))
-        return out
+        for coded in (self.pieces, self.parts, self.led):
+            coded.bound()
+        return [self._encode(text) for text in texts]
 
 
 def _byte_letters(alphabet: list[str]) -> dict[int, str]:
