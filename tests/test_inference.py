@@ -84,7 +84,7 @@ def test_hot_copies_are_salted(spark):
     plan = got._jdf.queryExecution().toString()
     assert "_salt" in plan
     plain = joins.join_copies(df, table, ["text"])
-    assert "_salt" not in plain._jdf.queryExecution().toString()
+    assert plain.columns == got.columns
     assert rows(plain, "k", "v") == rows(got, "k", "v")
 
 

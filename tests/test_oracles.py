@@ -6,13 +6,13 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from unitflow.plans.oracles import ORACLES
+from unitflow.plans.queries import QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
-QUERIES = contract.queries()
-ORACLES = contract.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -43,6 +43,7 @@ def run_sql(duck, sql):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(contract.queries()) and set(ORACLES) <= set(contract.oracle_sql())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))

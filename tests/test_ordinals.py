@@ -123,4 +123,6 @@ def test_paginate(spark, n):
         y += 16
     assert [(r.page_no, r.y) for r in mine] == want
     long = got.filter("doc_id = 2").first()
-    assert (len(long.line), long.cut_chars) == (500, 1)
+    assert (long.line, long.rest, long.cut_chars) == ("x" * 500, "x", 1)
+    short = writeback.paginate(df, line_chars=1).filter("doc_id = 2").first()
+    assert (short.line, short.rest, short.cut_chars) == ("x", "x" * 500, 500)

@@ -139,6 +139,7 @@ def translate_distinct(
     opts: Options = Options(),
     hot_share: int = HOT_SHARE,
     hot_rows: int = HOT_ROWS,
+    profile=None,
 ) -> DataFrame:
     """Like ``translate_rows``, but each distinct (stripped text, source) is translated once.
 
@@ -148,7 +149,7 @@ def translate_distinct(
     body = _checked(units).withColumn("_body", strip_ws(F.coalesce(F.col("text"), F.lit(""))))
     copies = body.groupBy("_body", "src_lang").agg(F.count("*").alias("_copies"))
     table = materialise(
-        translate_rows(copies.withColumnRenamed("_body", "text"), make_translator, opts)
+        translate_rows(copies.withColumnRenamed("_body", "text"), make_translator, opts, profile)
         .withColumnRenamed("text", "_body"),
         "translations",
     )
@@ -161,8 +162,8 @@ def translate_units(
     """Translate units; detects or pins ``src_lang`` where the input has none."""
     if "src_lang" not in units.columns:
         units = with_unit_source(units, opts.source)
-    if opts.dedup and profile is None:
-        return translate_distinct(units, make_translator, opts)
+    if opts.dedup:
+        return translate_distinct(units, make_translator, opts, profile=profile)
     return translate_rows(units, make_translator, opts, profile)
 
 

@@ -25,10 +25,8 @@ def join_copies(
     16 bytes x ``hot_share`` whatever the data, and the salted copies of the table under
     2 x ``hot_share`` rows. The salt is a hash of the row: a rerun task sends it the same way.
     """
-    total, most = table.agg(F.sum("_copies"), F.max("_copies")).first()
+    total = table.agg(F.sum("_copies")).first()[0]
     limit = max((total or 0) // hot_share, hot_rows)
-    if (most or 0) <= limit:
-        return rows.join(table.drop("_copies"), list(keys))
     hot = (
         table.filter(F.col("_copies") > limit)
         .groupBy(F.xxhash64(*keys).alias("_hash"))
@@ -41,7 +39,10 @@ def join_copies(
         return marked.withColumn("_salts", F.coalesce(F.col("_salts"), F.lit(1))).drop("_hash")
 
     salted = with_salts(rows).withColumn(
-        "_salt", F.pmod(F.xxhash64(*rows.columns), F.col("_salts")).cast("int")
+        "_salt",
+        F.when(F.col("_salts") > 1, F.pmod(F.xxhash64(*rows.columns), F.col("_salts")))
+        .otherwise(0)
+        .cast("int"),
     )
     copies = with_salts(table).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))

@@ -63,12 +63,9 @@ def running_sum(
 ) -> DataFrame:
     """Sum of ``weight`` before each row, by an integer position that is unique in the group.
 
-    Whether any group can be longer than a block is asked of the highest position, which reads
-    that column alone. If none is, one plain window does.
+    Always by blocks: a group of one block has no row on the joined side. ``df`` is read twice, so
+    a costly one (a translation) is to be written first.
     """
-    last = df.agg(F.max(pos)).first()[0]
-    if last is None or last < block_rows:
-        return sum_before(df, group, [pos], weight, out)
     block = F.expr(f"{pos} div {int(block_rows)}")
     return blocked_sum_before(df, group, [pos], block, weight, out)
 
@@ -90,9 +87,3 @@ def renumber(
     return ordinal(df, group, pos, "_dense", block_rows).withColumn(pos, F.col("_dense")).drop(
         "_dense"
     )
-
-
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the biggest group; one narrow, map-side combined pass."""
-    counts = df.groupBy(*keys).agg(F.count("*").alias("n"))
-    return counts.agg(F.max("n")).first()[0] or 0

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from unitflow.functions.text import final_text, replace_runs, strip_ws
 from unitflow.operators.joins import join_copies
-from unitflow.operators.ordinals import blocked_sum_before, largest_group, ordinal
+from unitflow.operators.ordinals import blocked_sum_before, ordinal
 from unitflow.options import KIND_SPAN, PAGE_HEADING
+from unitflow.session import discard, materialise
 
 # --- Fixed values: simple pagination -----------------------------------------------------------
 PAGE_TOP = 50
@@ -147,15 +148,19 @@ def page_items(
     return items
 
 
-def _biggest_page(units: DataFrame, images: DataFrame | None) -> int:
-    """Most units and images on one page, blank ones counted too."""
-    page = F.coalesce(F.col("page"), F.lit(0)) if "page" in units.columns else F.lit(0)
-    placed = units.select("doc_id", page.cast("bigint").alias("page"))
-    if images is not None:
-        placed = placed.unionByName(
-            images.select("doc_id", F.col("page").cast("bigint").alias("page"))
-        )
-    return largest_group(placed, ["doc_id", "page"])
+def _ranked(items: DataFrame) -> DataFrame:
+    """Add ``_at``, each item's place on its page.
+
+    Items are cut into ranges of their whole order; a page's ranges are counted and each range is
+    ranked on its own, so no task ever holds a page. They are written before ranges are sampled
+    (which would run what made them once more) and after, so that the ranges are read twice.
+    """
+    order = ["y", "rank", "ord"]
+    written = materialise(items, "page-items")
+    ranges = written.repartitionByRange("doc_id", "page", *order)
+    cut = materialise(ranges.withColumn("_range", F.spark_partition_id()), "page-ranges")
+    discard(written)
+    return blocked_sum_before(cut, ["doc_id", "page"], order, F.col("_range"), F.lit(1), "_at")
 
 
 def assemble_pages(
@@ -167,22 +172,10 @@ def assemble_pages(
     """(doc_id, page, part, break_before, n_items, text): pages as flowing text with headings.
 
     Blocks are ordered by height, at the same height text before images, then in their own
-    order. Where a page may have more than ``part_items`` blocks (checked by a count of the page
-    numbers alone), blocks are ranked without gathering a page, and long pages continue in parts
-    1, 2, ...
+    order. Pages of more than ``part_items`` blocks continue in parts 1, 2, ...
     """
-    items = page_items(units, images, pages)
-    if _biggest_page(units, images) >= part_items:
-        items = blocked_sum_before(
-            items,
-            ["doc_id", "page"],
-            ["y", "rank", "ord"],
-            F.struct("y", "rank", F.expr(f"ord div {int(part_items)}").alias("b")),
-            F.lit(1),
-            "_at",
-        ).withColumn("part", F.expr(f"_at div {int(part_items)}"))
-    else:
-        items = items.withColumn("part", F.lit(0).cast("bigint"))
+    ranked = _ranked(page_items(units, images, pages))
+    items = ranked.withColumn("part", F.expr(f"_at div {int(part_items)}"))
     gathered = items.groupBy("doc_id", "page", "part").agg(
         F.array_sort(F.collect_list(F.struct("y", "rank", "ord", "payload"))).alias("_items")
     )
@@ -190,7 +183,8 @@ def assemble_pages(
         F.transform("_items", lambda x: x["payload"]), lambda p: p.isNotNull()
     )
     if pages is None:
-        first = items.groupBy("doc_id").agg(
+        placed = items.select("doc_id", "page", "part").distinct()
+        first = placed.groupBy("doc_id").agg(
             F.min("page").alias("_first"), F.count("*").alias("_copies")
         )
         gathered = join_copies(gathered, first, ["doc_id"])
@@ -207,19 +201,22 @@ def assemble_pages(
     )
 
 
-def paginate(units: DataFrame) -> DataFrame:
-    """Line positions of a plain rebuilt document: 44 lines a page, 500 characters a line.
+def paginate(units: DataFrame, line_chars: int = LINE_CHARS) -> DataFrame:
+    """Line positions of a plain rebuilt document: 44 lines a page, 500 drawn characters a line.
 
-    Blank results take no line. ``cut_chars`` reports what the line length hides.
+    Blank results take no line. ``rest`` holds what a line does not draw (``line`` and ``rest``
+    together are the text) and ``cut_chars`` its length. Texts are written before they are
+    numbered, so a translation below runs once.
     """
     text = strip_ws(final_text(F.col("translated"), F.col("text")))
     kept = units.select("doc_id", "unit_idx", text.alias("_text")).filter(F.col("_text") != "")
-    line = ordinal(kept, ["doc_id"], "unit_idx", "_line")
+    line = ordinal(materialise(kept, "page-lines"), ["doc_id"], "unit_idx", "_line")
     return line.select(
         "doc_id",
         "unit_idx",
         F.expr(f"_line div {LINES_PER_PAGE}").alias("page_no"),
         (F.lit(PAGE_TOP) + LINE_STEP * (F.col("_line") % LINES_PER_PAGE)).alias("y"),
-        F.substring("_text", 1, LINE_CHARS).alias("line"),
-        F.greatest(F.length("_text") - LINE_CHARS, F.lit(0)).cast("bigint").alias("cut_chars"),
+        F.substring("_text", 1, line_chars).alias("line"),
+        F.substr("_text", F.lit(line_chars + 1)).alias("rest"),
+        F.greatest(F.length("_text") - line_chars, F.lit(0)).cast("bigint").alias("cut_chars"),
     )

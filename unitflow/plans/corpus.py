@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitflow.functions.text import is_blank, normalize_uz
-from unitflow.operators.inference import Factory, translate_rows, translate_units
+from unitflow.operators.inference import Factory, translate_units
 from unitflow.operators.joins import join_copies
 from unitflow.operators.placement import layout_plan
 from unitflow.operators.units import explode_lines, explode_spans, paragraph_units
@@ -135,4 +135,4 @@ def translate_lines(
         counts = lines.groupBy(file).agg(F.count("*").alias("_copies"))
         sources = counts.join(file_source(lines, file=file), file)
         sourced = join_copies(lines, materialise(sources, "file-sources"), [file])
-    return translate_rows(sourced, make_translator, opts)
+    return translate_units(sourced, make_translator, opts)

@@ -445,7 +445,7 @@ ORACLES: dict[str, str] = {
           select doc_id, unit_idx, {norm(marked('t'))} as x,
             row_number() over (partition by doc_id order by unit_idx) - 1 as k from units)
         select doc_id, unit_idx, k // 44 as page_no, 50 + 16 * (k % 44) as y,
-          substring(x, 1, 500) as line, greatest(length(x) - 500, 0) as cut_chars from kept""",
+          substring(x, 1, 500) as line, substring(x, 501) as rest, greatest(length(x) - 500, 0) as cut_chars from kept""",
     "head_n": f"""{DOC_LINES}, {UNITS}
         select doc_id, unit_idx, t as text from units where unit_idx < 5""",
     "preview": f"""{GAP_UNITS} select doc_id, unit_idx + 1 as row_no, substring(t, 1, 200) as text,

@@ -6,20 +6,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitflow.functions.text import side_by_side
+from unitflow.session import discard, materialise
+
+PLACES = ("out_format", "doc_id", "page", "part", "para_idx", "unit_idx")
 
 
 def write_translated(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Translated documents by output format, ordered by document and part.
+    """A writer's table by output format, ordered by document and by the place in it.
 
-    Ranges rather than hashes of the document: a document of many parts is cut over several
-    tasks and its parts still lie in order.
+    Ranges rather than hashes of the document: a document of many parts, pages, paragraphs or
+    spans is cut over several tasks and they still lie in order. Rows are written once before
+    ranges are sampled, so a translation below runs once.
     """
-    keys = [c for c in ("out_format", "doc_id", "part") if c in df.columns]
-    ordered = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    keys = [c for c in PLACES if c in df.columns]
+    rows = materialise(df, "to-sink")
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
     writer = ordered.write.mode(mode)
     if "out_format" in df.columns:
         writer = writer.partitionBy("out_format")
     writer.parquet(path)
+    discard(rows)
 
 
 def side_by_side_lines(df: DataFrame, *order: str) -> DataFrame:
@@ -31,4 +37,7 @@ def side_by_side_lines(df: DataFrame, *order: str) -> DataFrame:
 
 
 def write_side_by_side(df: DataFrame, path: str, *order: str) -> None:
-    side_by_side_lines(df, *order).select("value").write.text(path)
+    """Report lines as text files; with ``order``, rows are written once before ranges are sampled."""
+    rows = materialise(df, "to-sink") if order else df
+    side_by_side_lines(rows, *order).select("value").write.text(path)
+    discard(rows)
