@@ -94,6 +94,37 @@ def test_suffix_dedup_is_brute_force(docs, rows):
         )
 
 
+def brute_repeats(rows):
+    seen: dict[bytes, int] = {}
+    for i, t in rows:
+        for p in range(len(t) - 49):
+            seen[t[p : p + 50]] = min(i, seen.get(t[p : p + 50], i))
+    for i, t in rows:
+        gone = bytearray(len(t))
+        for p in range(len(t) - 49):
+            if seen[t[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        yield i, sum(gone), bytes(c for c, g in zip(t, gone, strict=True) if not g)
+
+
+def test_suffix_dedup_of_what_a_document_repeats(spark):
+    line = prose(8, 12)
+    rows = [
+        (10, "a" * 100),
+        (11, "a" * 400),
+        (20, prose(9, 30) + line + "\n" + prose(10, 30)),
+        (21, "\n".join(f"{prose(s, 9)} {line[:-20]} {prose(5, 30)}" for s in (11, 12, 13))),
+        (21, f"{prose(14, 9)} {line[:-20]} {prose(5, 30)}"),
+        (30, "cd" * 40),
+        (31, "x" + "cd" * 300 + "y" + "cd" * 300),
+    ]
+    want = sorted(brute_repeats([(i, t.encode()) for i, t in rows]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for batches, slices in ((1, 1), (2, 2), (5, 2)):
+        got = suffix_dedup.remove_repeats(df, batches=batches, slices=slices).collect()
+        assert sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in got) == want
+
+
 def test_line_dedup_is_brute_force(docs, rows):
     def key(line):
         line = line.strip(" \t\n\x0b\x0c\r")
