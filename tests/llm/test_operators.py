@@ -284,6 +284,32 @@ def test_pii_base_and_terms(spark):
     assert "boss@corp" not in out.first().t and "zanzibarian" not in out.first().t
 
 
+def test_pii_terms_anywhere_in_the_document(spark):
+    far = " ".join("abcdefgh"[i % 8] * 5 for i in range(60))
+    filler = [(i, far + " the room of " + prose(i, 30)) for i in range(100, 160)]
+    told = [(i, f"zanzibar {far} the office of Boss@corp.example {far} zanzibar") for i in range(10, 16)]
+    df = spark.createDataFrame(told + filler, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find_personal_data(df).collect()}
+    for i, text in told:
+        places = {(s.start, s.end) for s in got[i].terms}
+        assert {(0, 8), (len(text) - 8, len(text))} <= places
+        assert not {"the", "of", "aaaaa", "boss", "corp"} & {s.value.lower() for s in got[i].terms}
+        assert "zanzibar" in got[i].removed
+    assert not any(got[i].terms for i, _ in filler)
+
+
+def test_pii_terms_of_any_word_and_of_rare_entities(spark):
+    filler = [(i, prose(i, 30)) for i in range(100, 160)]
+    once = [(1, "Lee 4711 é\u0301x alphaa lee x9@y.de10 betab Lee")]
+    twice = [(2, "Kim asks a@b.cd alphaa"), (3, "a@b.cd is betab of KIM")]
+    copies = [(i, "Ana: +49 30 12345678 alphaa") for i in range(4, 9)]
+    df = spark.createDataFrame(filler + once + twice + copies, "doc_id long, text string")
+    got = {r.doc_id: [s.value for s in r.terms] for r in pii.find_personal_data(df).collect()}
+    assert got[1] == ["Lee", "4711", "é\u0301x", "lee", "Lee"]
+    assert got[2] == ["Kim", "asks"] and got[3] == ["is", "of", "KIM"]
+    assert all(got[i] == ["Ana"] for i in range(4, 9))
+
+
 def test_pii_is_python_re_on_random_text(spark):
     rng = random.Random(5)
     texts = ["".join(rng.choice("0123456789.@+-( )ab_%") for _ in range(rng.randrange(80))) for _ in range(400)]

@@ -1,13 +1,14 @@
 """Personal data: patterns find it, corpus co-occurrence finds the terms that give it away.
 
 All work is column expressions. Patterns are found inside the document's row; what they find are the
-protected entities. Words near an entity are terms, and how strongly a term reveals an entity is
+protected entities. All words of a document outside them are terms, and how strongly a term reveals an entity is
 their pointwise mutual information as a share of the entity's information content, from counts of documents
-over the whole corpus. In documents that hold the entity, terms over a threshold are generalised, and over
-a higher one removed.
+over the whole corpus, smoothed. In documents that hold the entity, terms over a threshold are generalised, and
+over a higher one removed.
 
-Counts are combined before each shuffle, pairs are an entity occurrence and the few words at its sides
-(never all words with all entities), and what is gathered for a document is bounded by its text.
+Counts are combined before each shuffle and joins on terms and entities are salted. A term that is in too many
+documents to reach the threshold, even if all of an entity's documents had it, is never paired with it; of entities
+that no other document holds, one stands for all in its document, as their pairs have equal counts.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitflow.llm.common import id_of, let, text_of
+from unitflow.operators.joins import join_copies
 from unitflow.session import materialise
 
 #: The kinds, in order, and their patterns. Possessive repeats match what greedy ones do here,
@@ -39,11 +41,10 @@ _GATE = {
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
 TERM = "term"
-SIDE = 120  # code points at each side of an entity whose words are its terms
-SUPPORT = 3  # different texts in which a term and an entity must meet
+SMOOTHING = 0.5  # documents without evidence that are added to each term, with the entity at its corpus share
 GENERALISE = 0.8
 REMOVE = 0.95
-_WORD = r"(?<!\p{L})\p{L}{4,}+"
+_WORD = r"[\p{L}\p{M}\p{N}]"
 
 
 def _located(text: Column, pattern: Column) -> Column:
@@ -128,74 +129,146 @@ def base_spans(text: Column) -> Column:
     return F.concat(*each)
 
 
+def _outside(text: Column, base: Column) -> Column:
+    """The text with a space for each code point of the base spans."""
+
+    def blank(a: Column, s: Column) -> Column:
+        low = F.greatest(s["start"], a["at"])
+        kept = F.substring(text, a["at"] + 1, low - a["at"])
+        return F.when(s["end"] <= a["at"], a).otherwise(
+            F.struct(
+                s["end"].alias("at"),
+                F.concat(a["out"], kept, F.repeat(F.lit(" "), s["end"] - low)).alias("out"),
+            )
+        )
+
+    places = F.array_sort(
+        F.transform(base, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    )
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    walked = let(
+        F.aggregate(places, start, blank),
+        lambda e: F.concat(e["out"], F.substring(text, e["at"] + 1, F.length(text))),
+    )
+    return F.when(F.size(base) > 0, walked).otherwise(text)
+
+
 def _terms(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(_WORD), F.lit(0)))
-
-
-def _around(text: Column, span: Column) -> Column:
-    """The words within SIDE code points of a span, without those that the cut or a pattern may have split."""
-    low = F.greatest(span["start"] - SIDE, F.lit(0))
-    before = F.substring(text, low + 1, span["start"] - low)
-    before = F.when(low > 0, F.regexp_replace(before, r"^\S*+", "")).otherwise(before)
-    after = F.substring(text, span["end"] + 1, F.lit(SIDE))
-    cut = F.length(text) > span["end"] + SIDE
-    after = F.when(cut, F.regexp_replace(after, r"\S++$", "")).otherwise(after)
-    both = F.concat(before, F.lit(" "), after)
-    for kind in ("email", "ip"):
-        both = F.regexp_replace(both, _PATTERN[kind], " ")
-    return _terms(both)
-
-
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(id, version, entity, term): each word beside each protected entity, once a document."""
-    text = F.col("text")
-    found = docs.select("id", "version", "text", F.explode(base_spans(text)).alias("span"))
-    value = F.lower(F.col("span")["value"])
-    words = found.select(
-        "id",
-        "version",
-        F.concat(F.col("span")["kind"], F.lit(":"), value).alias("entity"),
-        _around(text, F.col("span")).alias("terms"),
+    """The different words of a text, in lower case."""
+    words = F.regexp_extract_all(text, F.lit(_WORD + "++"), F.lit(0))
+    return F.array_distinct(F.transform(words, F.lower))
+
+
+def _based(docs: DataFrame) -> DataFrame:
+    # explode of one element: a barrier, so that patterns are not searched once for each use
+    return docs.withColumn("base", F.explode(F.array(base_spans(F.col("text")))))
+
+
+def holders(docs: DataFrame) -> DataFrame:
+    """(row, id, version, entities, terms) of the documents with an entity; ``row`` is new and unique."""
+    entity = lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))
+    return (
+        _based(docs)
+        .where(F.size("base") > 0)
+        .select(
+            F.monotonically_increasing_id().alias("row"),
+            "id",
+            "version",
+            F.array_distinct(F.transform("base", entity)).alias("entities"),
+            _terms(_outside(F.col("text"), F.col("base"))).alias("terms"),
+        )
     )
-    return words.select("id", "version", "entity", F.explode_outer("terms").alias("term")).distinct()
 
 
-def disclosures(docs: DataFrame, met: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """(entity, term, disclosure) of the pairs that meet in ``support`` different texts or more.
+def disclosures(
+    docs: DataFrame, held: DataFrame, smoothing: float = SMOOTHING, least: float = GENERALISE
+) -> DataFrame:
+    """(row, term, disclosure) of the terms in ``held`` that disclose an entity of their document by ``least``.
 
-    disclosure = PMI(entity; term) / IC(entity), counted in documents: 1 if the term is nowhere else. A
-    repeated id counts once for each different text.
+    disclosure = PMI(entity; term) / IC(entity), counted in rows of ``docs``. The share of the term's rows that hold
+    the entity is estimated with ``smoothing`` more rows that hold it as often as all rows do, so the value
+    is nearly 1 if the term is nowhere else, and nearer the more rows say so.
     """
-    one = F.struct("id", "version")
-    entities = met.groupBy("entity").agg(F.count_distinct(one).alias("n_entity"))
-    # a term is in one row for each document and entity, so both counts are plain, combined counts
-    pairs = met.where("term is not null").groupBy("entity", "term").agg(
-        F.count("*").alias("n_both"), F.count_distinct("version").alias("texts")
-    )
-    pairs = pairs.where(F.col("texts") >= support).join(entities, "entity")
-    pairs = materialise(pairs, "pairs")
+    total = float(max(docs.count(), 1))
+    n_entity, n_term, n_both = F.col("n_entity"), F.col("n_term"), F.col("n_both")
+    # in how many rows a term may be for the value to reach ``least`` if all rows of the entity have it
+    most = n_entity * (1 + smoothing / total) * F.pow(total / n_entity, F.lit(1 - least)) - smoothing
+    entities = held.select(F.explode("entities").alias("entity")).groupBy("entity")
+    entities = entities.agg(F.count("*").alias("n_entity")).where(n_entity < total)
+    entities = materialise(entities.withColumn("most", most * (1 + 1e-9)), "entities")
+    limit = entities.agg(F.max("most")).first()[0] or 0.0
     counts = (
-        docs.select(F.explode(_terms(F.col("text"))).alias("term"))
+        _based(docs)
+        .select(F.explode(_terms(_outside(F.col("text"), F.col("base")))).alias("term"))
         .groupBy("term")
         .agg(F.count("*").alias("n_term"))
     )
-    total = docs.count()
-    known = pairs.join(counts, "term")
-    log = lambda name: F.log(F.col(name).cast("double"))
-    content = F.log(F.lit(float(max(total, 1)))) - log("n_entity")
-    shared = F.log(F.lit(float(max(total, 1)))) + log("n_both") - log("n_term") - log("n_entity")
-    return known.where(content > 0).select(
-        "entity", "term", F.least(shared / content, F.lit(1.0)).alias("disclosure")
+    counts = materialise(counts.where(n_term <= limit), "terms")
+    terms = join_copies(
+        held.select("row", F.explode("terms").alias("term")), counts.withColumn("_copies", n_term), ["term"]
     )
+    own = join_copies(
+        held.select("row", F.explode("entities").alias("entity")),
+        entities.withColumn("_copies", n_entity),
+        ["entity"],
+    )
+    own = own.withColumn("entity", F.when(n_entity > 1, F.col("entity"))).repartition("row")
+    own = own.groupBy("row", "entity").agg(F.max("n_entity").alias("n_entity"), F.max("most").alias("most"))
+    pairs = terms.join(own, "row").where(n_term <= F.col("most")).drop("most")
+    pairs = materialise(pairs, "pairs")
+    share = (n_both + smoothing * n_entity / total) / (n_term + smoothing)
+    value = F.log(share * total / n_entity) / F.log(total / n_entity)
+    scored = lambda df: df.withColumn("disclosure", F.least(value, F.lit(1.0))).where(
+        F.col("disclosure") >= least
+    )
+    alone = scored(pairs.where("entity is null").withColumn("n_both", F.lit(1)))
+    met = pairs.where("entity is not null")
+    told = met.groupBy("entity", "term").agg(
+        F.count("*").alias("n_both"), F.max("n_term").alias("n_term"), F.max("n_entity").alias("n_entity")
+    )
+    told = scored(told).select("entity", "term", "disclosure", n_both.alias("_copies"))
+    told = join_copies(met.select("row", "entity", "term"), materialise(told, "disclosures"), ["entity", "term"])
+    out = ["row", "term", "disclosure"]
+    return alone.select(*out).unionByName(told.select(*out))
 
 
 def _term_spans(text: Column, terms: Column, base: Column) -> Column:
-    """Where whole words of ``terms`` stand outside the base spans."""
-    pattern = F.concat(
-        F.lit(r"(?s)\G(.*?)(?<!\p{L})((?iu:"), F.array_join(terms, "|"), F.lit(r"))(?!\p{L})")
+    """Where words of ``terms`` stand outside the base spans."""
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+    n = F.greatest(F.floor(F.size(terms) / 8).cast("int"), F.lit(1))
+    slot = lambda w: F.pmod(F.hash(w), n)
+    # a word is compared with the few terms of its slot
+    slots = F.transform(
+        F.sequence(F.lit(0), n - 1), lambda i: F.filter(terms, lambda t: slot(t) == i)
+    )
+
+    def place(v: Column) -> Column:
+        known = lambda w: F.array_contains(F.get(v["slots"], slot(w)), w)
+        steps = F.arrays_zip(
+            v["before"].alias("before"),
+            v["found"].alias("found"),
+            F.transform(v["found"], lambda w: let(F.lower(w), known)).alias("hit"),
+        )
+
+        def step(s: Column, x: Column) -> Column:
+            low = s["at"] + F.length(x["before"])
+            high = low + F.length(x["found"])
+            one = F.struct(
+                F.lit(TERM).alias("kind"), low.alias("start"), high.alias("end"), x["found"].alias("value")
+            )
+            out = F.when(x["hit"], F.array_append(s["out"], one)).otherwise(s["out"])
+            return F.struct(high.alias("at"), out.alias("out"))
+
+        return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]
+
+    pattern = F.lit(rf"\G({_WORD.replace('[', '[^')}*+)({_WORD}++)")
+    take = lambda blanked, group: F.regexp_extract_all(blanked, pattern, F.lit(group))
+    return let(
+        _outside(text, base),
+        lambda b: let(
+            F.struct(slots.alias("slots"), take(b, 1).alias("before"), take(b, 2).alias("found")), place
+        ),
     )
-    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    return F.transform(F.filter(_located(text, pattern), free), lambda s: _span(TERM, s))
 
 
 def spans_text(spans: Column) -> Column:
@@ -206,21 +279,22 @@ def spans_text(spans: Column) -> Column:
 
 def find_personal_data(
     docs: DataFrame,
-    support: int = SUPPORT,
+    smoothing: float = SMOOTHING,
     generalise: float = GENERALISE,
 ) -> DataFrame:
     """All columns of ``docs`` plus ``base`` and ``terms``: arrays of (kind, start, end, value).
 
     ``base`` are the pattern matches (``base_spans``), ``terms`` the words of kind 'term' whose disclosure
     of an entity of the same document is at least ``generalise``, with ``removed`` naming those of at least
-    REMOVE. A null text is empty and has neither; a null id is the last one; rows with one id and different texts
+    REMOVE. Words are runs of letters, marks and digits of any length, anywhere in the document; they are not
+    segmented where a script has no spaces. Equal rows are counted as they are. A null text is empty and has neither; a null id is the last one; rows with one id and different texts
     are judged apart, equal rows alike; an empty table gives none. Input columns of these names are replaced.
     """
     rows = docs.select(id_of().alias("id"), F.xxhash64(text_of()).alias("version"), text_of().alias("text"))
-    met = materialise(occurrences(rows), "occurrences")
-    told = disclosures(rows, met, support).where(F.col("disclosure") >= generalise)
+    held = materialise(holders(rows), "holders")
     per_doc = (
-        met.join(materialise(told, "disclosures"), ["entity", "term"])
+        disclosures(rows, held, smoothing, generalise)
+        .join(held.select("row", "id", "version"), "row")
         .groupBy(F.col("id").alias("__id"), F.col("version").alias("__version"))
         .agg(
             F.sort_array(F.collect_set("term")).alias("__terms"),
