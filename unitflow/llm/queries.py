@@ -7,13 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from unitflow.llm.ann import nearest
+from unitflow.llm import lexicon_bpe
 from unitflow.llm.bpe import encode_decode
 from unitflow.llm.common import documents
 from unitflow.llm.line_dedup import dedup_lines
 from unitflow.llm.mixing import mixing_rates
 from unitflow.llm.pii import counts_of, find_personal_data, spans_text
+from unitflow.llm.prefix_trie import prefix_trie, sequences, spliced
 from unitflow.llm.quality_model import classify
 from unitflow.llm.quality_rules import judge
+from unitflow.llm.role_repair import damaged, repair
 from unitflow.llm.simhash import near_groups
 from unitflow.llm.suffix_dedup import remove_repeats
 from unitflow.llm.token_files import read_tokens, write_tokens
@@ -105,6 +108,25 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spliced(sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+def op12_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return repair(rows).drop("symbols")
+
+
+def op13_lexicon_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = lexicon_bpe.encode_decode(documents(spark, sf_dir).select("doc_id", "text"))
+    return coded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -118,5 +140,8 @@ QUERIES = {
         op8_ann,
         op9_token_files,
         op10_line_dedup,
+        op11_prefix_trie,
+        op12_role_repair,
+        op13_lexicon_bpe,
     )
 } | {"pipeline": corpus_pipeline.run}
