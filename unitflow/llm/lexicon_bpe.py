@@ -6,8 +6,8 @@
    out numbers whose sum along a word is the word's place in the list, and the list holds the words' ids.
 3. The automaton is one file of flat arrays. Spark hands it to every executor, and all workers of a
    machine map the same pages. A batch's distinct words walk it together, one byte a step.
-4. Words that it does not hold are cut by the tokenizer's pattern and merged by the library's own model, so
-   every id is the library's whatever the lexicon holds.
+4. Words that it does not hold are cut into pieces and merged by the library's own model, so every id is
+   the library's whatever the lexicon holds.
 
 The driver holds the frequent words, at most SHARE x MAX_WORD code points.
 """
@@ -41,13 +41,16 @@ COUNTED = 200_000  # distinct words a task counts before it hands them on
 LONG = 1 << 20  # code points from which a text is taken word by word
 WORDS_AT_ONCE = 200_000
 IDS_AT_ONCE = 1 << 18
-REMEMBERED = 200_000  # merged words that a worker keeps, each of at most MAX_WORD code points
+REMEMBERED = 200_000  # merged words and pieces that a worker keeps, each of at most MAX_WORD code points
 
 #: The white space of the tokenizer's pattern.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: No piece of the pattern goes on from other characters into white space, so words are encoded one by one.
 _WORD = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
+#: Words of Latin letters, digits and old punctuation.
+_SETTLED = re.compile("[\0-\u024f]*")
+
 
 def words_in(text: str) -> list[str]:
     return _WORD.findall(text)
@@ -132,11 +135,11 @@ def flat_tables(states: list[tuple]) -> dict[str, np.ndarray]:
     }
 
 
-def compile_lexicon(words: Iterable[str], ids_of: Callable[[str], bytes]) -> bytes:
+def compile_lexicon(words: Iterable[str], ids_of: Callable[[list[str]], list[bytes]]) -> bytes:
     """The file of a lexicon: a header, then 32-bit arrays."""
-    ordered = sorted({w.encode() for w in words})
-    ids = [ids_of(w.decode()) for w in ordered]
-    tables = flat_tables(minimal_automaton(ordered))
+    ordered = sorted(set(words), key=str.encode)
+    ids = ids_of(ordered)
+    tables = flat_tables(minimal_automaton(w.encode() for w in ordered))
     tables["ids_at"] = np.cumsum([0, *(len(i) // 4 for i in ids)]).astype(np.int32)
     tables["ids"] = np.frombuffer(b"".join(ids), dtype=np.int32)
     header = json.dumps({name: len(table) for name, table in tables.items()}).encode()
@@ -199,7 +202,7 @@ class Lexicon:
 
 
 class Merger:
-    """Exact ids of any word, and the bytes of any id, from a tokenizer file."""
+    """Exact ids of any words, and the bytes of any id, from a tokenizer file."""
 
     def __init__(self, path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -214,14 +217,15 @@ class Merger:
         plain = ("single_word", "lstrip", "rstrip", "normalized")
         if told["normalizer"] or any(t[f] for t in told["added_tokens"] for f in plain):
             raise ValueError(f"{path}: only byte-level tokenizers with plain added tokens")
-        # truncation and padding do not concern single words
-        self.model = Tokenizer.from_file(path).model
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.model, self.pattern = self.tokenizer.model, regex.compile(public_tokenizers.PATTERN)
         letters = ByteLevel.alphabet()
-        printable = {ord(c): c for c in letters if ord(c) < 256}
-        others = iter(sorted(c for c in letters if ord(c) > 255))
-        self.letters = {b: printable.get(b) or next(others) for b in range(256)}
-        byte = {c: b for b, c in self.letters.items()}
+        printable = {c: ord(c) for c in letters if ord(c) < 256}
+        others = [b for b in range(256) if chr(b) not in printable]
+        byte = printable | dict(zip(sorted(c for c in letters if ord(c) > 255), others, strict=True))
+        self.letters = {b: c for c, b in byte.items()}
         marks = {t["content"]: t["id"] for t in told["added_tokens"]}
         known = told["model"]["vocab"] | marks
         self.token_bytes = [b""] * (max(known.values()) + 1)
@@ -232,24 +236,35 @@ class Merger:
         ways = "|".join(re.escape(m) for m in sorted(marks, key=len, reverse=True))
         self.mark = re.compile(f"({ways})") if ways else None
         self.merged: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
 
     def segments(self, text: str) -> list[str]:
         """The text cut at added tokens; every second part is one."""
         return self.mark.split(text) if self.mark else [text]
 
     def _piece(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-
-    def word(self, word: str) -> bytes:
-        held = self.merged.get(word)
-        if held is None:
-            held = b"".join(self._piece(m.group()) for m in self.pattern.finditer(word))
-            if len(word) <= MAX_WORD:
-                if len(self.merged) >= REMEMBERED:
-                    self.merged.clear()
-                self.merged[word] = held
-        return held
+        ids = self.pieces.get(piece)
+        if ids is None:
+            letters = piece.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+            if len(piece) <= MAX_WORD:
+                self.pieces[piece] = ids
+        return ids
+
+    def _merge(self, word: str) -> bytes:
+        # what is a letter is agreed on for old scripts only; for the rest the tokenizer has the say
+        if _SETTLED.fullmatch(word):
+            return b"".join(map(self._piece, self.pattern.findall(word)))
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """The packed ids of distinct words without added tokens; short ones are remembered."""
+        for held in (self.merged, self.pieces):
+            if len(held) > REMEMBERED:
+                held.clear()
+        out = [self.merged.get(w) or self._merge(w) for w in words]
+        self.merged.update((w, ids) for w, ids in zip(words, out, strict=True) if len(w) <= MAX_WORD)
+        return out
 
     def decode(self, ids: bytes) -> str:
         """What the ids stand for; broken UTF-8 becomes U+FFFD."""
@@ -270,9 +285,10 @@ class Encoder:
     def known(self, words: Iterable[str]) -> dict[str, bytes]:
         """The ids of each distinct word."""
         distinct = list(words)
-        found = self.lexicon.encode(distinct)
-        merge = self.merger.word
-        return {w: merge(w) if i is None else i for w, i in zip(distinct, found, strict=True)}
+        held = dict(zip(distinct, self.lexicon.encode(distinct), strict=True))
+        unseen = [w for w, ids in held.items() if ids is None]
+        held.update(zip(unseen, self.merger.words(unseen), strict=True))
+        return held
 
     def _long(self, text: str) -> bytes:
         out = []
@@ -288,7 +304,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         mark = self.merger.mark
         plain = [len(t) <= LONG and not (mark and mark.search(t)) for t in texts]
-        words = [_WORD.findall(t) if ok else () for t, ok in zip(texts, plain, strict=True)]
+        words = [words_in(t) if ok else () for t, ok in zip(texts, plain, strict=True)]
         ids = self.known(set(chain.from_iterable(words))).__getitem__
         return [
             b"".join(map(ids, own)) if ok else self._marked(t)
@@ -358,7 +374,7 @@ def publish_lexicon(docs: DataFrame, tokenizer: str | None = None, share: int =
     from pyarrow import fs
 
     spark = docs.sparkSession
-    content = compile_lexicon(frequent_words(docs, share), Merger(tokenizer).word)
+    content = compile_lexicon(frequent_words(docs, share), Merger(tokenizer).words)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
     folder = fresh_path(spark, "lexicon")
     files, path = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
