@@ -41,7 +41,7 @@ COUNTED = 200_000  # distinct words a task counts before it hands them on
 LONG = 1 << 20  # code points from which a text is taken word by word
 WORDS_AT_ONCE = 200_000
 IDS_AT_ONCE = 1 << 18
-REMEMBERED = 200_000  # merged words and pieces that a worker keeps, each of at most MAX_WORD code points
+REMEMBERED = 500_000  # merged words and pieces that a worker keeps, each of at most MAX_WORD code points
 
 #: The white space of the tokenizer's pattern.
 _SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
