@@ -1,11 +1,12 @@
 """Soft-membership mixing: documents belong to domains by degrees, and rates make domains meet targets.
 
 1. A naive-Bayes classifier over hashed words learns domains from the documents that a labelled table
-   names; its counts are one combined aggregate of FEATURES rows a domain.
+   names, at most SAMPLE of its ids; its counts are one combined aggregate of FEATURES rows a domain.
 2. Every document gets a posterior over domains, in its own row.
 3. Projected-gradient least squares finds nonnegative rates: each step needs the expected token totals of the
    domains, one aggregate of a few numbers, and a document's rate follows from its own posterior and the
-   steps so far. Rates are never joined or shuffled.
+   steps so far. Rates are never joined or shuffled. Steps go on until every domain is within the
+   tolerance of its target or the totals no longer move; targets that no rates reach give a warning.
 
 The driver holds the classifier (FEATURES x domains numbers) and a few numbers a step.
 """
@@ -13,7 +14,9 @@ The driver holds the classifier (FEATURES x domains numbers) and a few numbers a
 from __future__ import annotations
 
 import math
+import warnings
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +24,10 @@ from unitflow.llm.common import let, text_of, words_of
 from unitflow.session import materialise
 
 FEATURES = 4096
-STEPS = 40
+SAMPLE = 20_000  # labelled ids that the classifier learns from, those of the least hash
 TOLERANCE = 1e-4
-MAX_DOMAINS = 1000
+STILL = 1e-7  # totals that move by less than this share have stopped
+MAX_DOMAINS = 100  # a step sums the domains' products: domains squared
 
 
 def _slots(text: Column) -> Column:
@@ -71,11 +75,17 @@ def _softmax(logs: Column) -> Column:
     return let(top(logs), lambda e: let(total(e), lambda s: F.transform(e, lambda x: x / s)))
 
 
-def learn_domains(docs: DataFrame, labelled: DataFrame, domain: str = "lang") -> Domains:
-    """The classifier, from documents whose ``doc_id`` is in ``labelled`` and whose domain is not null."""
-    ids = labelled.select(F.col("doc_id").alias("__labelled")).distinct()
+def learn_domains(
+    docs: DataFrame, labelled: DataFrame, domain: str = "lang", sample: int = SAMPLE
+) -> Domains:
+    """The classifier, from documents whose ``doc_id`` is in ``labelled`` and whose domain is not null.
+
+    At most ``sample`` ids are taken, those of the least hash, so the broadcast is bounded and no text moves.
+    """
+    ids = labelled.select(F.col("doc_id").alias("__labelled")).where("__labelled is not null").distinct()
+    ids = ids.orderBy(F.xxhash64("__labelled"), "__labelled").limit(sample)
     known = docs.where(F.col(domain).isNotNull()).join(
-        ids, F.col("doc_id") == F.col("__labelled"), "left_semi"
+        F.broadcast(ids), F.col("doc_id") == F.col("__labelled"), "left_semi"
     )
     counts = (
         known.select(F.col(domain).cast("string").alias("domain"), F.explode(_slots(text_of())).alias("slot"))
@@ -121,41 +131,49 @@ def fit_rates(
     members: DataFrame,
     n_domains: int,
     weights: list[float] | None = None,
-    steps: int = STEPS,
     tolerance: float = TOLERANCE,
 ) -> list[list[float]]:
     """Steps of projected gradient on sum over domains of (expected tokens - target)^2 / tokens.
 
     ``members``: n_tokens, p. Targets share all tokens by ``weights`` (default: equally). Slopes are taken per
-    token, so documents of one membership get one rate whatever their length. Ends when every domain is
-    within ``tolerance`` of its target, or after ``steps``.
+    token, so documents of one membership get one rate whatever their length. A slope is turned by the inverse of
+    the domains' Gram matrix over the documents whose rate is above 0, so domains that are much alike take few steps;
+    a step that does not bring the totals nearer is taken back by half. Ends when every domain is within
+    ``tolerance`` of its target, or with a warning when the totals have stopped.
     """
     ks = range(n_domains)
     n = F.col("n_tokens")
     at = lambda k: F.get("p", F.lit(k))
-    gram = [F.sum(n * at(i) * at(j)).alias(f"g{i}_{j}") for i in ks for j in ks]
-    first = members.agg(*[F.sum(n * at(k)).alias(f"t{k}") for k in ks], *gram).first()
-    start = [first[f"t{k}"] or 0.0 for k in ks]
-    if not sum(start):
+
+    def totals(history: list[list[float]]) -> tuple[np.ndarray, np.ndarray]:
+        rated = members.select("n_tokens", "p", rate_of(F.col("p"), history).alias("rate"))
+        live = F.when(F.col("rate") > 0, n).otherwise(0)
+        found = rated.agg(
+            *[F.coalesce(F.sum(F.col("rate") * n * at(k)), F.lit(0.0)) for k in ks],
+            *[F.coalesce(F.sum(live * at(i) * at(j)), F.lit(0.0)) for i in ks for j in ks],
+        ).first()
+        return np.array(found[:n_domains]), np.array(found[n_domains:]).reshape(n_domains, -1)
+
+    now, gram = totals([])
+    if not now.sum():
         return []
-    weights = weights or [1.0] * n_domains
-    targets = [sum(start) * w / sum(weights) for w in weights]
-    scale = [1 / max(s, 1e-9) for s in start]
-    # largest eigenvalue of the scaled Gram matrix, bounded by its largest row sum
-    rows = [
-        sum(math.sqrt(scale[i] * scale[j]) * (first[f"g{i}_{j}"] or 0.0) for j in ks) for i in ks
-    ]
-    size = 1 / max(rows)
+    share = np.array(weights or [1.0] * n_domains)
+    targets = now.sum() * share / share.sum()
+    allowed = tolerance * np.maximum(targets, 1.0)
     history: list[list[float]] = []
-    totals = start
-    while len(history) < steps:
-        gap = [a - t for a, t in zip(totals, targets, strict=True)]
-        if all(abs(g) <= tolerance * max(t, 1.0) for g, t in zip(gap, targets, strict=True)):
-            break
-        history.append([size * s * g for s, g in zip(scale, gap, strict=True)])
-        rated = members.select("n_tokens", "p", rate_of(F.col("p"), history).alias("rate"))
-        now = rated.agg(*[F.sum(F.col("rate") * n * at(k)).alias(f"t{k}") for k in ks]).first()
-        totals = [now[f"t{k}"] for k in ks]
+    part = 1.0
+    while (np.abs(now - targets) > allowed).any():
+        step = part * np.linalg.pinv(gram, rcond=1e-9, hermitian=True) @ (now - targets)
+        tried, live = totals([*history, step.tolist()])
+        gap, before = (float(((t - targets) ** 2).sum()) for t in (tried, now))
+        if gap >= before * (1 - STILL):
+            part /= 2
+            if part < 1e-3:
+                warnings.warn(f"domain totals {now.tolist()} do not reach {targets.tolist()}", stacklevel=2)
+                break
+            continue
+        history.append(step.tolist())
+        now, gram, part = tried, live, min(1.0, part * 2)
     return history
 
 
