@@ -286,7 +286,8 @@ def read_tokens(manifest: DataFrame, wanted: list[int] | None = None) -> DataFra
                 if held:
                     yield _rows(held)
 
-    spread = files.select("path", "base").repartition("path")
+    # a number that is asked for is not coalesced: a task for each file
+    spread = files.select("path", "base").repartitionByRange(max(1, files.count()), "path")
     read = spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
     return read.withColumn("doc_id", F.nullif("doc_id", F.lit(2**63 - 1)))
 
