@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from unitflow.functions.text import CYRILLIC, LATIN, letters, split_lines, strip_ws
+from unitflow.functions.text import CYRILLIC, LATIN, is_blank, letters, split_lines, strip_ws
 from unitflow.options import ENGLISH, RUSSIAN, SUPPORTED_SOURCES, VOTE_HEAD, pinned_source
 
 # --- Fixed values ------------------------------------------------------------------------------
@@ -91,6 +91,24 @@ def winner(russian: Column, english: Column, default: str = ENGLISH) -> Column:
     )
 
 
+def head_units(text: Column, head: int = VOTE_HEAD, breaks: str = "\n") -> Column:
+    """The first ``head`` paragraphs that are not blank, as they are."""
+    return F.slice(F.filter(split_lines(text, breaks), lambda t: ~is_blank(t)), 1, head)
+
+
+def winner_of(votes: Column, default: str = ENGLISH) -> Column:
+    """The winner among an array of source codes: one fold, however often they are counted."""
+    return F.aggregate(
+        votes,
+        F.struct(F.lit(0).alias("ru"), F.lit(0).alias("en")),
+        lambda n, v: F.struct(
+            (n["ru"] + (v == RUSSIAN).cast("int")).alias("ru"),
+            (n["en"] + (v == ENGLISH).cast("int")).alias("en"),
+        ),
+        lambda n: winner(n["ru"], n["en"], default),
+    )
+
+
 def document_source_of(
     text: Column, head: int = VOTE_HEAD, default: str = ENGLISH, breaks: str = "\n"
 ) -> Column:
@@ -102,13 +120,4 @@ def document_source_of(
     votes = F.transform(
         F.transform(F.slice(kept, 1, head), stripped_profile), lambda p: source_of(p, default)
     )
-    # one fold, so that the votes are taken once however often they are counted
-    return F.aggregate(
-        votes,
-        F.struct(F.lit(0).alias("ru"), F.lit(0).alias("en")),
-        lambda n, v: F.struct(
-            (n["ru"] + (v == RUSSIAN).cast("int")).alias("ru"),
-            (n["en"] + (v == ENGLISH).cast("int")).alias("en"),
-        ),
-        lambda n: winner(n["ru"], n["en"], default),
-    )
+    return winner_of(votes, default)

@@ -161,7 +161,7 @@ def translate_units(
 ) -> DataFrame:
     """Translate units; detects or pins ``src_lang`` where the input has none."""
     if "src_lang" not in units.columns:
-        units = with_unit_source(units, opts.source)
+        units = with_unit_source(units, opts.source, opts.profiles)
     if opts.dedup:
         return translate_distinct(units, make_translator, opts, profile=profile)
     return translate_rows(units, make_translator, opts, profile)
@@ -206,4 +206,4 @@ def translate_text(
         return translate_units(texts, make_translator, opts)
     rows = [texts] if isinstance(texts, str) else list(texts)
     df = spark.createDataFrame(list(enumerate(rows)), "idx bigint, text string")
-    return translate_rows(with_unit_source(df, opts.source), make_translator, opts)
+    return translate_rows(with_unit_source(df, opts.source, opts.profiles), make_translator, opts)

@@ -6,31 +6,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from unitflow.functions.language import (
-    detect_source,
     document_source_of,
     effective_source,
+    head_units,
     is_supported,
+    needs_detector,
     source_of,
     text_profile,
     winner,
+    winner_of,
 )
 from unitflow.functions.text import is_blank
+from unitflow.operators.detector import Profile, detected_label, detected_labels
 from unitflow.options import ENGLISH, FILE_HEAD, RUSSIAN, VOTE_HEAD, Options, pinned_source
 
 
-def with_unit_source(units: DataFrame, option: str | None = "auto") -> DataFrame:
+def _with_rule(
+    rows: DataFrame, text: str, out: str, default: str, detector: Profile | None
+) -> DataFrame:
+    """Add ``out``, the source code of ``text``; a detector sees only texts that it can decide."""
+    rows = rows.withColumn("_profile", text_profile(F.col(text)))
+    label = None
+    if detector is not None:
+        asked = F.when(needs_detector(F.col("_profile")), F.col(text))
+        rows = rows.withColumn("_label", detected_label(asked, detector))
+        label = F.col("_label")
+    return rows.withColumn(out, source_of(F.col("_profile"), default, label)).drop("_profile", "_label")
+
+
+def with_unit_source(
+    units: DataFrame, option: str | None = "auto", detector: Profile | None = None
+) -> DataFrame:
     """Add ``src_lang``: pinned, or detected for each unit on its own."""
     if pinned_source(option):
         return units.withColumn("src_lang", effective_source(F.col("text"), option))
-    return (
-        units.withColumn("_profile", text_profile(F.col("text")))
-        .withColumn("src_lang", source_of(F.col("_profile")))
-        .drop("_profile")
-    )
+    return _with_rule(units, "text", "src_lang", ENGLISH, detector)
 
 
 def document_source(
-    units: DataFrame, head: int = VOTE_HEAD, default: str = ENGLISH
+    units: DataFrame,
+    head: int = VOTE_HEAD,
+    default: str = ENGLISH,
+    detector: Profile | None = None,
 ) -> DataFrame:
     """(doc_id, src_lang, votes_ru, votes_en): vote of the first ``head`` units of each document.
 
@@ -38,9 +55,7 @@ def document_source(
     filter: no sort, and only two counters per document are shuffled.
     """
     voters = units.filter((F.col("unit_idx") < head) & ~is_blank(F.col("text")))
-    cast = voters.select("doc_id", text_profile(F.col("text")).alias("_p")).select(
-        "doc_id", source_of(F.col("_p"), default).alias("_vote")
-    )
+    cast = _with_rule(voters.select("doc_id", "text"), "text", "_vote", default, detector)
     votes = cast.groupBy("doc_id").agg(
         F.count_if(F.col("_vote") == RUSSIAN).alias("votes_ru"),
         F.count_if(F.col("_vote") == ENGLISH).alias("votes_en"),
@@ -54,15 +69,37 @@ def document_source(
 
 
 def with_document_source(docs: DataFrame, opts: Options, text: str = "text") -> DataFrame:
-    """Add ``src_lang`` to documents held as one text each, inside the row."""
+    """Add ``src_lang`` to documents held as one text each, inside the row.
+
+    With a detector the head paragraphs go to Python as one array a document and come back as labels.
+    """
     pinned = pinned_source(opts.source)
-    return docs.withColumn(
-        "src_lang", F.lit(pinned) if pinned else document_source_of(F.col(text))
+    if pinned:
+        return docs.withColumn("src_lang", F.lit(pinned))
+    if opts.profiles is None:
+        return docs.withColumn("src_lang", document_source_of(F.col(text), opts.vote_head))
+    told = F.transform(
+        head_units(F.coalesce(F.col(text), F.lit("")), opts.vote_head),
+        lambda t: F.struct(t.alias("text"), text_profile(t).alias("profile")),
+    )
+    asked = F.transform("_head", lambda h: F.when(needs_detector(h["profile"]), h["text"]))
+    votes = F.zip_with(
+        "_head", "_labels", lambda h, label: source_of(h["profile"], detected=label)
+    )
+    return (
+        docs.withColumn("_head", told)
+        .withColumn("_labels", detected_labels(asked, opts.profiles))
+        .withColumn("src_lang", winner_of(votes))
+        .drop("_head", "_labels")
     )
 
 
 def file_source(
-    lines: DataFrame, head: int = FILE_HEAD, file: str = "path", idx: str = "line_idx"
+    lines: DataFrame,
+    head: int = FILE_HEAD,
+    file: str = "path",
+    idx: str = "line_idx",
+    detector: Profile | None = None,
 ) -> DataFrame:
     """One source code per line file, from its first ``head`` lines joined by a space.
 
@@ -74,7 +111,8 @@ def file_source(
         .agg(F.array_sort(F.collect_list(F.struct(idx, "text"))).alias("_head"))
     )
     sample = F.array_join(F.transform(F.col("_head"), lambda x: x["text"]), " ")
-    return joined.select(file, detect_source(sample).alias("src_lang"))
+    sampled = joined.select(file, sample.alias("_sample"))
+    return _with_rule(sampled, "_sample", "src_lang", ENGLISH, detector).drop("_sample")
 
 
 def split_supported(df: DataFrame, source: str = "src_lang", strict: bool = False):

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
+
+if TYPE_CHECKING:
+    from unitflow.operators.detector import Profile
 
 # --- Fixed values: results depend on these being exactly as they are ---------------------------
 ENGLISH = "eng_Latn"
@@ -47,6 +51,9 @@ class Options:
     mode          'vote': one source per document; 'per_unit': each unit on its own
     dedup         translate each distinct (text, source) once and join the result back
     max_chars     units longer than this are flagged ``over_limit`` (never cut)
+    profiles      a detector (``operators.detector.load_profile``) that decides where script alone does not
+    vote_head     units that vote for a document's source language
+    part_units    most paragraphs in one part of a document's text
     """
 
     source: str | None = "auto"
@@ -57,11 +64,16 @@ class Options:
     mode: str = "vote"
     dedup: bool = True
     max_chars: int | None = None
+    profiles: Profile | None = field(default=None, compare=False)
+    vote_head: int = VOTE_HEAD
+    part_units: int = 4096
 
     def __post_init__(self):
         pinned_source(self.source)
         if self.batch_size < 1:
             raise ValueError("batch_size must be at least 1")
+        if self.vote_head < 1 or self.part_units < 1:
+            raise ValueError("vote_head and part_units must be at least 1")
         if self.mode not in ("vote", "per_unit"):
             raise ValueError("mode must be 'vote' or 'per_unit'")
         if (self.output_format or "auto").lower() not in ("auto", *FORMATS):

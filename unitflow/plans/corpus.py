@@ -32,7 +32,7 @@ def translate_paragraphs(
     if opts.mode == "vote":
         lines = explode_lines(with_document_source(docs, opts))
     else:
-        lines = with_unit_source(explode_lines(docs), opts.source)
+        lines = with_unit_source(explode_lines(docs), opts.source, opts.profiles)
     return translate_units(lines, make_translator, opts)
 
 
@@ -58,7 +58,7 @@ def translate_corpus(
         .otherwise(normalize_uz(F.col("text")))
         .alias("text"),
     )
-    return assemble_document(placed)
+    return assemble_document(placed, part_units=opts.part_units)
 
 
 def with_document_columns(rows: DataFrame, table: DataFrame) -> DataFrame:
@@ -80,8 +80,8 @@ def with_voted_source(
     """
     if pinned_source(opts.source) or opts.mode == "per_unit":
         given = units if table is None else with_document_columns(units, table)
-        return with_unit_source(given, opts.source)
-    votes = document_source(units).select("doc_id", "src_lang")
+        return with_unit_source(given, opts.source, opts.profiles)
+    votes = document_source(units, opts.vote_head, detector=opts.profiles).select("doc_id", "src_lang")
     return with_document_columns(units, votes if table is None else votes.join(table, "doc_id"))
 
 
@@ -133,6 +133,6 @@ def translate_lines(
         sourced = lines.withColumn("src_lang", F.lit(pinned))
     else:
         counts = lines.groupBy(file).agg(F.count("*").alias("_copies"))
-        sources = counts.join(file_source(lines, file=file), file)
+        sources = counts.join(file_source(lines, file=file, detector=opts.profiles), file)
         sourced = join_copies(lines, materialise(sources, "file-sources"), [file])
     return translate_units(sourced, make_translator, opts)

@@ -199,6 +199,21 @@ labels as (
   select doc_id, unit_idx, lang, case greatest({', '.join(LABELS)})
     {' '.join(f"when {x} then '{x}'" for x in LABELS)} end as label from sums)"""
 
+HELD_OUT = GRAMS.replace("from grams group by gram", "from grams where doc_id % 5 <> 0 group by gram")
+OPENED = f"""opened as (
+  select doc_id, unit_idx, t, case when length({strip('t')}) >= 20
+    and not ({cyr('t')} > {lat('t')} * 1.2::double and {cyr('t')} >= 3)
+    and regexp_matches(t, '\\p{{L}}') then label end as detected
+  from units join labels using (doc_id, unit_idx))"""
+DETECTED = f"""{GRAMS}, {OPENED},
+votes as (
+  select doc_id, sum((v = {RUS})::bigint)::bigint as votes_ru,
+         sum((v = {ENG})::bigint)::bigint as votes_en
+  from (select doc_id, {source('t', 'detected')} as v from opened where unit_idx < 50) group by doc_id),
+voted as (
+  select doc_id, case when votes_ru > votes_en then {RUS} else {ENG} end as src_lang,
+         votes_ru, votes_en from votes)"""
+
 PAGES = f"""{GAP_SPANS},
 first_images as (
   select doc_id, page, xref, i, y0, w, h from (
@@ -387,13 +402,36 @@ ORACLES: dict[str, str] = {
         {' union all '.join(f"select '{x}' as lang, gram, {x} as logp from profile" for x in LABELS)}""",
     "classify_accuracy": f"""with {GRAMS}
         select lang, label, count(*) as n from labels group by lang, label""",
-    "detect_with_profiles": f"""with {GRAMS},
-        opened as (
-          select doc_id, unit_idx, t, case when length({strip('t')}) >= 20
-            and not ({cyr('t')} > {lat('t')} * 1.2::double and {cyr('t')} >= 3)
-            and regexp_matches(t, '\\p{{L}}') then label end as detected
-          from units join labels using (doc_id, unit_idx))
+    "held_out_accuracy": f"""with {HELD_OUT}
+        select lang, label, count(*) as n from labels where doc_id % 5 = 0 group by lang, label""",
+    "detect_with_profiles": f"""with {GRAMS}, {OPENED}
         select doc_id, unit_idx, detected, {source('t', 'detected')} as src_lang from opened""",
+    "detect_units": f"""with {GRAMS}, {OPENED}
+        select doc_id, unit_idx, {source('t', 'detected')} as src_lang from opened""",
+    "document_source_detected": f"""with {DETECTED}
+        select doc_id, src_lang, src_lang as by_units, votes_ru, votes_en from voted""",
+    "file_source_detected": f"""with {GRAMS}, heads as (
+          select doc_id, string_agg(t, ' ' order by unit_idx) as t from units
+          where unit_idx < 5 group by doc_id),
+        head_sums as (
+          select doc_id, {', '.join(f'sum({x})::bigint as {x}' for x in LABELS)} from (
+            select doc_id, unnest(flatten(list_transform([1, 2, 3], lambda n: list_transform(
+              generate_series(1, length(t) - n + 1), lambda k: substring(t, k, n))))) as gram from heads)
+          join profile using (gram) group by doc_id),
+        told as (
+          select doc_id, t, case when length({strip('t')}) >= 20
+            and not ({cyr('t')} > {lat('t')} * 1.2::double and {cyr('t')} >= 3)
+            and regexp_matches(t, '\\p{{L}}') then case greatest({', '.join(LABELS)})
+            {' '.join(f"when {x} then '{x}'" for x in LABELS)} end end as detected
+          from heads join head_sums using (doc_id))
+        select doc_id, {source('t', 'detected')} as src_lang from told""",
+    "translate_corpus_detected": f"""with {DETECTED},
+        done as (
+          select l.doc_id, l.i, case when {strip('t')} = '' then t else {stub('t')} end as text
+          from lines l join voted using (doc_id))
+        select doc_id, i // 4096 as part, count(*) as n_pieces,
+          string_agg(text, chr(10) order by i) as text
+        from done group by doc_id, i // 4096""",
     "translate_units": f"""{NOISY_LINES}, {UNITS}, {SOURCED}
         select doc_id, unit_idx, src_lang, {stub('t')} as translated,
           length({strip('t')}) > 200 as over_limit from sourced""",

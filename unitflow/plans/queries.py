@@ -11,6 +11,7 @@ from unitflow import schemas
 from unitflow.functions import language, layout, text
 from unitflow.operators import (
     batching,
+    detector,
     inference,
     placement,
     profiles,
@@ -372,6 +373,47 @@ def detect_with_profiles(spark, d):
     )
 
 
+def _detector(spark, d, where="true"):
+    trained = profiles.train_profiles(_labelled(spark, d).where(where), fixtures.LABELS)
+    return detector.load_profile(trained)
+
+
+@query
+def held_out_accuracy(spark, d):
+    """Labels of documents that the profile was not trained on, found inside the row."""
+    known = _detector(spark, d, "doc_id % 5 != 0")
+    rows = _labelled(spark, d).where("doc_id % 5 = 0")
+    labels = rows.withColumn("label", detector.detected_label(F.col("text"), known))
+    return labels.groupBy("lang", "label").agg(F.count("*").alias("n"))
+
+
+@query
+def detect_units(spark, d):
+    rows = voting.with_unit_source(_labelled(spark, d), "auto", _detector(spark, d))
+    return rows.select("doc_id", "unit_idx", "src_lang")
+
+
+@query
+def document_source_detected(spark, d):
+    """The vote inside the document's row, and over its units, with a detector."""
+    known, docs = _detector(spark, d), fixtures.ru_docs(spark, d)
+    in_row = voting.with_document_source(docs, Options(profiles=known)).select("doc_id", "src_lang")
+    votes = voting.document_source(units.explode_paragraphs(docs), detector=known)
+    return in_row.join(votes.withColumnRenamed("src_lang", "by_units"), "doc_id")
+
+
+@query
+def file_source_detected(spark, d):
+    rows = units.explode_paragraphs(fixtures.ru_docs(spark, d))
+    return voting.file_source(rows, file="doc_id", idx="unit_idx", detector=_detector(spark, d))
+
+
+@query
+def translate_corpus_detected(spark, d):
+    opts = Options(profiles=_detector(spark, d))
+    return corpus.translate_corpus(spark, fixtures.ru_docs(spark, d), STUB, opts)
+
+
 # --- inference ----------------------------------------------------------------------------------
 
 

@@ -27,7 +27,7 @@ def translate_stream(
     Stateless, so there is no watermark; blank lines are dropped. Works on batch input alike.
     """
     given = lines.withColumn("text", strip_ws(F.col("text"))).filter(~is_blank(F.col("text")))
-    return translate_rows(with_unit_source(given, opts.source), make_translator, opts)
+    return translate_rows(with_unit_source(given, opts.source, opts.profiles), make_translator, opts)
 
 
 def start_append(stream: DataFrame, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
