@@ -27,6 +27,9 @@ NO_BREAK_SPACE = "\u00a0"
 LOST_AFTER_O_OR_G = "(?<=[OoGg])\\?(?=[A-Za-z'])"
 LOST_BETWEEN_LETTERS = "(?<=[A-Za-z])\\?(?=[A-Za-z])"
 
+# Characters that end a sentence where white space follows.
+SENTENCE_ENDS = ".!?…"
+
 CYRILLIC = "[\\u0400-\\u04FF]+"
 LATIN = "[A-Za-z]+"
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from unitflow.functions.text import strip_ws
+from unitflow.operators.calls import cut_batches, estimated_tokens
 from unitflow.operators.ordinals import BLOCK_ROWS, ordinal
-from unitflow.operators.voting import language_groups
-from unitflow.options import PROGRESS_LABEL
+from unitflow.operators.voting import language_groups, with_unit_source
+from unitflow.options import PROGRESS_LABEL, Options
 
 
 def plan_batches(units: DataFrame, batch_size: int = 32, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -60,3 +65,38 @@ def progress(units: DataFrame, batch_size: int = 32) -> DataFrame:
         "total",
         F.concat(F.lit(PROGRESS_LABEL), done, F.lit("/"), F.col("total")).alias("message"),
     )
+
+
+def padding_report(units: DataFrame, opts: Options) -> DataFrame:
+    """(plan, n_batches, tokens, padded, share): what batches in order and by length would pad, without a model.
+
+    Batches are cut where the model would cut them, inside each Arrow batch of each source; blank units take
+    no part. ``share`` is the padded part of all tokens that the model would read.
+    """
+    plans = {"in order": replace(opts, batch_tokens=None)}
+    if opts.batch_tokens is not None:
+        plans["by length"] = opts
+
+    def run(batches):
+        for batch in batches:
+            found = {}
+            for source, text in zip(batch.column("src_lang").to_pylist(), batch.column("text").to_pylist()):
+                found.setdefault(source, []).append(text)
+            rows = []
+            for plan, options in plans.items():
+                for texts in found.values():
+                    sizes = [estimated_tokens(t) for t in texts]
+                    for part in cut_batches(texts, options):
+                        own = [sizes[i] for i in part]
+                        rows.append((plan, 1, sum(own), max(own) * len(own) - sum(own)))
+            if rows:
+                columns = zip(*rows, strict=True)
+                names = ["plan", "n_batches", "tokens", "padded"]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+
+    sourced = units if "src_lang" in units.columns else with_unit_source(units, opts.source, opts.profiles)
+    body = strip_ws(F.coalesce(F.col("text"), F.lit("")))
+    given = sourced.select("src_lang", body.alias("text")).filter(F.col("text") != "")
+    counted = given.mapInArrow(run, "plan string, n_batches bigint, tokens bigint, padded bigint")
+    sums = counted.groupBy("plan").agg(*[F.sum(c).alias(c) for c in ("n_batches", "tokens", "padded")])
+    return sums.withColumn("share", F.col("padded") / (F.col("padded") + F.col("tokens")))

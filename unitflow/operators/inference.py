@@ -10,7 +10,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import replace
-from itertools import batched, groupby
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -20,14 +19,23 @@ from pyspark.sql import types as T
 
 from unitflow.functions.language import is_supported
 from unitflow.functions.text import normalize_uz, strip_ws
+from unitflow.operators.calls import Translator, translate_batch, translate_long
 from unitflow.operators.joins import HOT_ROWS, HOT_SHARE, join_copies
 from unitflow.operators.voting import with_unit_source
 from unitflow.options import ENGLISH, Options
 from unitflow.session import materialise
 
-Translator = Callable[[list[str], str, str], Sequence[str]]
 Factory = Callable[[Options], Translator]
 
+#: What the model gives where a text may fail or be cut; otherwise it gives the translation alone.
+RESULT = T.StructType(
+    [
+        T.StructField("text", T.StringType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("n_segments", T.IntegerType()),
+    ]
+)
+
 _loaded: dict[str, Translator] = {}  # per Python worker: a model is loaded once, not per task
 
 
@@ -46,20 +54,28 @@ def _load(key: str, pickled: bytes, options: Options) -> Translator:
     return _loaded[key]
 
 
-def translate_batch(
-    texts: Sequence[str], sources: Sequence[str], fn: Translator, options: Options
-) -> list[str]:
-    """One Arrow batch: calls of up to ``batch_size`` texts of one source; empty in, empty out."""
-    out = [""] * len(texts)
-    order = sorted((i for i, t in enumerate(texts) if t), key=sources.__getitem__)
-    for source, same in groupby(order, key=sources.__getitem__):
-        for part in batched(same, options.batch_size):
-            done = list(fn([texts[i] for i in part], source, options.target))
-            if len(done) != len(part):
-                raise ValueError(f"translator returned {len(done)} texts for {len(part)}")
-            for i, text in zip(part, done):
-                out[i] = text
-    return out
+def _detailed(options: Options) -> bool:
+    return options.on_error == "row" or options.split_chars is not None
+
+
+def _model(make_translator: Factory, options: Options):
+    """(result type, a function from Arrow texts and sources to Arrow results) that tasks can run."""
+    options = replace(options, profiles=None)  # a detector is no business of the model's workers
+    pickled = cloudpickle.dumps(make_translator)
+    key = hashlib.sha1(pickled + repr(options).encode()).hexdigest()
+
+    def plain(texts: pa.Array, sources: pa.Array) -> pa.Array:
+        fn = _load(key, pickled, options)
+        return pa.array(translate_batch(texts.to_pylist(), sources.to_pylist(), fn, options), pa.string())
+
+    def detailed(texts: pa.Array, sources: pa.Array) -> pa.Array:
+        fn = _load(key, pickled, options)
+        done = translate_long(texts.to_pylist(), sources.to_pylist(), fn, options)
+        columns = zip(*done, strict=True) if done else ((), (), ())
+        arrays = [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32()), strict=True)]
+        return pa.StructArray.from_arrays(arrays, [f.name for f in RESULT])
+
+    return (RESULT, detailed) if _detailed(options) else (T.StringType(), plain)
 
 
 def translator_udf(make_translator: Factory, options: Options):
@@ -68,15 +84,12 @@ def translator_udf(make_translator: Factory, options: Options):
     Only these two columns go to Python; all others stay in the JVM beside it. It is marked
     nondeterministic so that no rule evaluates it twice or moves a filter through it.
     """
-    pickled = cloudpickle.dumps(make_translator)
-    key = hashlib.sha1(pickled + repr(options).encode()).hexdigest()
+    kind, model = _model(make_translator, options)
 
-    @F.arrow_udf(T.StringType())
+    @F.arrow_udf(kind)
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        fn = _load(key, pickled, options)
         for texts, sources in batches:
-            done = translate_batch(texts.to_pylist(), sources.to_pylist(), fn, options)
-            yield pa.array(done, pa.string())
+            yield model(texts, sources)
 
     return run.asNondeterministic()
 
@@ -94,22 +107,60 @@ def _checked(units: DataFrame) -> DataFrame:
     return units.withColumn("src_lang", F.coalesce(checked, F.lit("")))
 
 
+def with_body(units: DataFrame) -> DataFrame:
+    """Checked units with ``_body``, the stripped text that the model sees."""
+    return _checked(units).withColumn("_body", strip_ws(F.coalesce(F.col("text"), F.lit(""))))
+
+
+def result_columns(opts: Options) -> list[str]:
+    """What a translation adds to its unit, apart from ``over_limit``."""
+    more = ["error"] if opts.on_error == "row" else []
+    return ["translated", *more, *(["n_segments"] if opts.split_chars is not None else [])]
+
+
+def _finished(raw: DataFrame, opts: Options) -> DataFrame:
+    """Results out of ``_raw``, the translation normalised in the JVM."""
+    told = F.col("_raw")["text"] if _detailed(opts) else F.col("_raw")
+    done = raw.withColumn("translated", normalize_uz(told))
+    for name in result_columns(opts)[1:]:
+        done = done.withColumn(name, F.col("_raw")[name])
+    return done.drop("_raw")
+
+
+def with_limit(done: DataFrame, opts: Options) -> DataFrame:
+    """Flag units beyond ``max_chars``."""
+    if opts.max_chars is None:
+        return done
+    return done.withColumn("over_limit", F.length("_body") > opts.max_chars)
+
+
 def translate_rows(
     units: DataFrame, make_translator: Factory, opts: Options = Options(), profile=None
 ) -> DataFrame:
     """Add ``translated`` to rows that have ``text`` and ``src_lang``; no shuffle.
 
-    ``profile``: a ResourceProfile (GPUs) for the Python stage, on clusters that offer them.
+    ``profile``: a ResourceProfile (GPUs) for the Python stage, on clusters that offer them. Rows are then written
+    with a number, two columns go through the stage, and results are joined back by that number.
     """
-    body = _checked(units).withColumn("_body", strip_ws(F.coalesce(F.col("text"), F.lit(""))))
+    body = with_body(units)
     if profile is None:
         raw = body.withColumn("_raw", translator_udf(make_translator, opts)("_body", "src_lang"))
     else:
-        raw = translate_stage(body, make_translator, opts, profile)
-    done = raw.withColumn("translated", normalize_uz(F.col("_raw")))
-    if opts.max_chars is not None:
-        done = done.withColumn("over_limit", F.length("_body") > opts.max_chars)
-    return done.drop("_body", "_raw")
+        raw = translate_staged(body, make_translator, opts, profile)
+    return with_limit(_finished(raw, opts), opts).drop("_body")
+
+
+def translate_staged(
+    body: DataFrame, make_translator: Factory, opts: Options, profile=None
+) -> DataFrame:
+    """Add ``_raw`` by a stage of its own that only sees a row's number, body and source."""
+    rows = materialise(body.withColumn("_row", F.monotonically_increasing_id()), "staged")
+    given = rows.select("_row", "_body", "src_lang").filter(F.col("_body") != "")
+    done = translate_stage(given, make_translator, opts, profile).select("_row", "_raw")
+    joined = rows.join(materialise(done, "stage-results"), "_row", "left").drop("_row")
+    if _detailed(opts):
+        return joined
+    return joined.withColumn("_raw", F.coalesce("_raw", F.lit("")))
 
 
 def translate_stage(
@@ -117,22 +168,48 @@ def translate_stage(
 ) -> DataFrame:
     """The plug-in as a stage of its own, which may have its own resources.
 
-    All columns pass through Python here; the column function above leaves them in the JVM.
+    All columns of ``body`` pass through Python here, so it is to have few.
     """
-    pickled = cloudpickle.dumps(make_translator)
-    key = hashlib.sha1(pickled + repr(opts).encode()).hexdigest()
+    kind, model = _model(make_translator, opts)
 
     def run(batches):
-        fn = _load(key, pickled, opts)
         for batch in batches:
-            texts, sources = (batch.column(c).to_pylist() for c in ("_body", "src_lang"))
-            done = translate_batch(texts, sources, fn, opts)
-            yield batch.append_column("_raw", pa.array(done, pa.string()))
+            yield batch.append_column("_raw", model(batch.column("_body"), batch.column("src_lang")))
 
-    schema = T.StructType(body.schema.fields + [T.StructField("_raw", T.StringType())])
+    schema = T.StructType(body.schema.fields + [T.StructField("_raw", kind)])
     return body.mapInArrow(run, schema, profile=profile)
 
 
+def keyed_bodies(units: DataFrame) -> DataFrame:
+    """Units with ``_body`` and ``_key``, a digest of source and body; blank bodies have no key."""
+    key = F.unhex(F.sha2(F.concat_ws(":", "src_lang", "_body"), 256))
+    return with_body(units).withColumn("_key", F.when(F.col("_body") != "", key))
+
+
+def distinct_bodies(body: DataFrame) -> DataFrame:
+    """(_key, _body, src_lang, _copies): each distinct text once, counted with a map-side combine."""
+    given = body.filter(F.col("_key").isNotNull())
+    return given.groupBy("_key", "_body", "src_lang").agg(F.count("*").alias("_copies"))
+
+
+def join_translations(
+    body: DataFrame,
+    table: DataFrame,
+    opts: Options,
+    hot_share: int = HOT_SHARE,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """Results of ``table`` (_key, _copies, results) back to all units; blank ones get an empty translation.
+
+    A unit takes one text and a digest through the join, a result its digest and the translation.
+    """
+    joined = join_copies(body, table, ["_key"], hot_share, hot_rows, "left")
+    done = joined.withColumn("translated", F.coalesce("translated", F.lit("")))
+    if opts.split_chars is not None:
+        done = done.withColumn("n_segments", F.coalesce("n_segments", F.lit(0)))
+    return with_limit(done, opts).drop("_body", "_key")
+
+
 def translate_distinct(
     units: DataFrame,
     make_translator: Factory,
@@ -144,24 +221,40 @@ def translate_distinct(
     """Like ``translate_rows``, but each distinct (stripped text, source) is translated once.
 
     Copies are counted with a map-side combine; the translated texts are written as a table and
-    joined back. That table's counts say which texts are hot, and those are salted.
+    joined back by their digest. That table's counts say which texts are hot, and those are salted.
     """
-    body = _checked(units).withColumn("_body", strip_ws(F.coalesce(F.col("text"), F.lit(""))))
-    copies = body.groupBy("_body", "src_lang").agg(F.count("*").alias("_copies"))
-    table = materialise(
-        translate_rows(copies.withColumnRenamed("_body", "text"), make_translator, opts, profile)
-        .withColumnRenamed("text", "_body"),
-        "translations",
-    )
-    return join_copies(body, table, ["_body", "src_lang"], hot_share, hot_rows).drop("_body")
+    body = keyed_bodies(units)
+    done = translate_bodies(distinct_bodies(body), make_translator, opts, profile)
+    table = materialise(done.select("_key", "_copies", *result_columns(opts)), "translations")
+    return join_translations(body, table, opts, hot_share, hot_rows)
+
+
+def translate_bodies(
+    bodies: DataFrame, make_translator: Factory, opts: Options, profile=None
+) -> DataFrame:
+    """``translate_rows`` over rows of distinct ``_body`` that need no flag."""
+    plain = replace(opts, max_chars=None)
+    return translate_rows(bodies.withColumnRenamed("_body", "text"), make_translator, plain, profile)
 
 
 def translate_units(
-    units: DataFrame, make_translator: Factory, opts: Options = Options(), profile=None
+    units: DataFrame,
+    make_translator: Factory,
+    opts: Options = Options(),
+    profile=None,
+    batch: str | None = None,
 ) -> DataFrame:
-    """Translate units; detects or pins ``src_lang`` where the input has none."""
+    """Translate units; detects or pins ``src_lang`` where the input has none.
+
+    With ``opts.memory``, texts that earlier runs have translated do not reach the model; ``batch`` names what is
+    learnt now, so that the same batch does not learn it twice.
+    """
     if "src_lang" not in units.columns:
         units = with_unit_source(units, opts.source, opts.profiles)
+    if opts.memory is not None:
+        from unitflow.operators.memory import translate_remembered
+
+        return translate_remembered(units, make_translator, opts, batch, profile)
     if opts.dedup:
         return translate_distinct(units, make_translator, opts, profile=profile)
     return translate_rows(units, make_translator, opts, profile)

@@ -51,6 +51,10 @@ class Options:
     mode          'vote': one source per document; 'per_unit': each unit on its own
     dedup         translate each distinct (text, source) once and join the result back
     max_chars     units longer than this are flagged ``over_limit`` (never cut)
+    split_chars   units longer than this are translated in pieces that end at sentences, and joined again
+    batch_tokens  most estimated tokens of a call, counted as texts x the longest; fills batches by length
+    on_error      'fail': a failing call ends the job; 'row': the text that fails becomes a row with ``error``
+    memory        a folder of what earlier runs and batches have translated (``operators.memory``)
     profiles      a detector (``operators.detector.load_profile``) that decides where script alone does not
     vote_head     units that vote for a document's source language
     part_units    most paragraphs in one part of a document's text
@@ -64,6 +68,10 @@ class Options:
     mode: str = "vote"
     dedup: bool = True
     max_chars: int | None = None
+    split_chars: int | None = None
+    batch_tokens: int | None = None
+    on_error: str = "fail"
+    memory: str | None = None
     profiles: Profile | None = field(default=None, compare=False)
     vote_head: int = VOTE_HEAD
     part_units: int = 4096
@@ -74,6 +82,12 @@ class Options:
             raise ValueError("batch_size must be at least 1")
         if self.vote_head < 1 or self.part_units < 1:
             raise ValueError("vote_head and part_units must be at least 1")
+        if self.split_chars is not None and self.split_chars < 2:
+            raise ValueError("split_chars must be at least 2")
+        if self.batch_tokens is not None and self.batch_tokens < 1:
+            raise ValueError("batch_tokens must be at least 1")
+        if self.on_error not in ("fail", "row"):
+            raise ValueError("on_error must be 'fail' or 'row'")
         if self.mode not in ("vote", "per_unit"):
             raise ValueError("mode must be 'vote' or 'per_unit'")
         if (self.output_format or "auto").lower() not in ("auto", *FORMATS):

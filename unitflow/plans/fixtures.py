@@ -26,6 +26,7 @@ RU_DOCS = """case
   else text end"""
 NOISY_DOCS = "replace(replace(translate(text, 'é*$&#', '’«»—ʻ'), 'on', 'o?n'), 'ed', 'e?d')"
 GAP_DOCS = "replace(text, chr(10), concat(chr(10), chr(10)))"
+FAULT = "ndw"  # texts that hold it make a translator fail
 LABEL = "case when doc_id % 3 = 0 then 'ru' else lang end"
 LABELS = ("de", "en", "es", "fr", "ru")
 

@@ -15,7 +15,7 @@ from unitflow.functions.text import (
     WORD_MARK,
 )
 from unitflow.options import MIME_TYPES
-from unitflow.plans.fixtures import GAP_DOCS, LABEL, LABELS, NOISY_DOCS, RU_DOCS
+from unitflow.plans.fixtures import FAULT, GAP_DOCS, LABEL, LABELS, NOISY_DOCS, RU_DOCS
 
 RUS, ENG, UZB = "'rus_Cyrl'", "'eng_Latn'", "uzn_Latn"
 
@@ -437,6 +437,19 @@ ORACLES: dict[str, str] = {
           length({strip('t')}) > 200 as over_limit from sourced""",
     "translate_distinct": f"""{RU_UNITS}, {SOURCED}
         select doc_id, unit_idx, src_lang, {stub('t')} as translated from sourced""",
+    "translate_staged": f"""{RU_UNITS}, {SOURCED}
+        select doc_id, unit_idx, src_lang, {stub('t')} as translated from sourced""",
+    "translate_long": f"""{NOISY_LINES}, {UNITS}, {SOURCED},
+        cut as (select *, {strip('t')} as s, case when length({strip('t')}) <= 60 then [{strip('t')}]
+          else regexp_extract_all({strip('t')}, '(?s).{{1,60}}\\z|.{{0,58}}[.!?…][{WHITESPACE}]|.{{0,59}}[{WHITESPACE}]|.{{1,60}}') end as p
+          from sourced),
+        done as (select *, array_to_string(list_transform(p, lambda g: case when {strip('g')} = '' then g else
+          concat(left(g, length(g) - length(ltrim(g, '{WHITESPACE}'))), '[', src_lang, '>{UZB}] ', {strip('g')},
+            right(g, length(g) - length(rtrim(g, '{WHITESPACE}')))) end), '') as out from cut)
+        select doc_id, unit_idx, src_lang, {norm('out')} as translated, len(p)::int as n_segments from done""",
+    "translate_faulty": f"""{DOC_LINES}, {UNITS}, {SOURCED}
+        select doc_id, unit_idx, case when contains(t, '{FAULT}') then '' else {stub('t')} end as translated,
+          case when contains(t, '{FAULT}') then 'ValueError: cannot translate' end as error from sourced""",
     "translate_with": f"""{GAP_LINES} select doc_id, i, case when {strip('t')} = '' then t
         else {norm('''concat('<', t, '>')''')} end as translated from lines""",
     "translate_text": f"""with sourced as (

@@ -431,6 +431,41 @@ def translate_distinct(spark, d):
     return done.select("doc_id", "unit_idx", "src_lang", "translated")
 
 
+@query
+def translate_staged(spark, d):
+    """The model as a stage of its own, which sees numbers, bodies and sources."""
+    rows = inference.with_body(_sourced(spark, d))
+    done = inference.translate_staged(rows, STUB, Options())
+    return done.select("doc_id", "unit_idx", "src_lang", text.normalize_uz(F.col("_raw")).alias("translated"))
+
+
+@query
+def translate_long(spark, d):
+    """Units beyond the model's limit, in pieces that end at sentences."""
+    rows = units.explode_paragraphs(fixtures.noisy_docs(spark, d))
+    done = inference.translate_units(rows, STUB, Options(split_chars=60))
+    return done.select("doc_id", "unit_idx", "src_lang", "translated", "n_segments")
+
+
+def _faulty(options):
+    """A translator that fails on every batch with a certain text in it."""
+
+    def fn(texts, source, target):
+        if any(fixtures.FAULT in t for t in texts):
+            raise ValueError("cannot translate")
+        return STUB(options)(texts, source, target)
+
+    return fn
+
+
+@query
+def translate_faulty(spark, d):
+    rows = units.explode_paragraphs(fixtures.documents(spark, d))
+    opts = Options(dedup=False, on_error="row", batch_tokens=2048)
+    done = inference.translate_units(rows, _faulty, opts)
+    return done.select("doc_id", "unit_idx", "translated", "error")
+
+
 @query
 def translate_with(spark, d):
     rows = fixtures.lines(fixtures.gap_docs(spark, d))
