@@ -22,7 +22,10 @@ from unitflow.session import materialise
 
 
 def translate_paragraphs(
-    docs: DataFrame, make_translator: Factory, opts: Options = Options()
+    docs: DataFrame,
+    make_translator: Factory,
+    opts: Options = Options(),
+    batch: str | None = None,
 ) -> DataFrame:
     """(doc_id, para_idx, src_lang, text, translated): all paragraphs of documents.
 
@@ -33,7 +36,7 @@ def translate_paragraphs(
         lines = explode_lines(with_document_source(docs, opts))
     else:
         lines = with_unit_source(explode_lines(docs), opts.source, opts.profiles)
-    return translate_units(lines, make_translator, opts)
+    return translate_units(lines, make_translator, opts, batch=batch)
 
 
 def translate_corpus(
@@ -41,13 +44,15 @@ def translate_corpus(
     docs: DataFrame,
     make_translator: Factory,
     opts: Options = Options(),
+    batch: str | None = None,
 ) -> DataFrame:
     """(doc_id, part, n_pieces, text) of documents given as (doc_id, text).
 
-    Documents without text give no row; ``voting.empty_documents`` lists them.
+    Documents without text give no row; ``document_outcomes`` lists them. ``batch`` names what a translation
+    memory (``opts.memory``) learns from these documents.
     """
     given = docs.select("doc_id", "text").filter(~is_blank(F.col("text")))
-    done = translate_paragraphs(given, make_translator, opts)
+    done = translate_paragraphs(given, make_translator, opts, batch)
     # Translations come normalised. Blank paragraphs keep their own text, so that the layout of
     # the document stays.
     placed = done.select(
@@ -85,12 +90,43 @@ def with_voted_source(
     return with_document_columns(units, votes if table is None else votes.join(table, "doc_id"))
 
 
+def document_outcomes(docs: DataFrame, done: DataFrame, opts: Options = Options()) -> DataFrame:
+    """(doc_id, src_lang, n_parts, reject_reason): one row for each row of ``docs``, whatever became of it.
+
+    ``done`` is the written result of ``translate_corpus``, ``docs`` what it was given. A document without text has no
+    source, no parts and a reason; one whose id repeats has the parts of all its rows.
+    """
+    sourced = with_document_source(docs.select("doc_id", "text"), opts)
+    blank = is_blank(F.col("text"))
+    told = sourced.select(
+        "doc_id",
+        F.when(~blank, F.col("src_lang")).alias("src_lang"),
+        F.when(blank, "no text").alias("reject_reason"),
+    )
+    parts = done.groupBy("doc_id").agg(F.count("*").alias("_parts"))
+    n_parts = F.when(F.col("reject_reason").isNull(), F.coalesce("_parts", F.lit(0))).otherwise(0)
+    joined = told.join(parts, "doc_id", "left")
+    return joined.select("doc_id", "src_lang", n_parts.alias("n_parts"), "reject_reason")
+
+
+def written_once(paras: DataFrame, label: str) -> DataFrame:
+    """A table that is read more than once: as it is where ``materialise`` has made it, else written now."""
+    return paras if hasattr(paras, "written_to") else materialise(paras, label)
+
+
 def translate_paras(
-    paras: DataFrame, make_translator: Factory, opts: Options = Options()
+    paras: DataFrame,
+    make_translator: Factory,
+    opts: Options = Options(),
+    batch: str | None = None,
 ) -> DataFrame:
-    """Paragraph table (doc_id, para_idx, loc, runs) with translated runs."""
+    """Paragraph table (doc_id, para_idx, loc, runs) with translated runs.
+
+    Numbering and write-back both read the paragraphs, so a scan of DOCX files is written first and parsed once.
+    """
+    paras = written_once(paras, "paras")
     units = with_voted_source(materialise(paragraph_units(paras), "units"), opts)
-    done = materialise(translate_units(units, make_translator, opts), "units")
+    done = materialise(translate_units(units, make_translator, opts, batch=batch), "units")
     return write_back(paras, done)
 
 

@@ -86,16 +86,17 @@ def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``fresh_path`` has named."""
     if "/unitflow/" not in path:
         raise ValueError(f"{path} is no folder of this package")
-    files, target = _located(spark, path)
+    files, target = hadoop_path(spark, path)
     files.delete(target, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    files, target = _located(spark, path)
+    files, target = hadoop_path(spark, path)
     return files.exists(target)
 
 
-def _located(spark: SparkSession, path: str):
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of a folder or file that Spark can reach."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 

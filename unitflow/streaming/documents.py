@@ -23,10 +23,14 @@ DOCX_FILES = "path string, modificationTime timestamp, length bigint, content bi
 
 
 def _each_batch(
-    stream: DataFrame, job: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool
+    stream: DataFrame,
+    job: Callable[[DataFrame, str], DataFrame],
+    out: str,
+    checkpoint: str,
+    once: bool,
 ) -> StreamingQuery:
     def run(batch: DataFrame, batch_id: int) -> None:
-        job(batch).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        job(batch, f"{checkpoint}#{batch_id}").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -42,8 +46,8 @@ def watch_documents(
 ) -> StreamingQuery:
     """Translate a stream of (doc_id, text) documents into ``out``."""
 
-    def job(batch):
-        return translate_corpus(batch.sparkSession, batch, make_translator, opts)
+    def job(batch, name):
+        return translate_corpus(batch.sparkSession, batch, make_translator, opts, name)
 
     return _each_batch(documents, job, out, checkpoint, once)
 
@@ -69,11 +73,11 @@ def watch_docx(
         .select("path", "content")
     )
 
-    def job(batch):
+    def job(batch, name):
         paras = materialise(parse_docx(batch.withColumnRenamed("path", "doc_id")), "paras")
         bad = paras.filter(F.col("error").isNotNull())
         good = paras.filter(F.col("error").isNull()).drop("error")
-        return translate_paras(good, make_translator, opts).unionByName(
+        return translate_paras(good, make_translator, opts, name).unionByName(
             bad, allowMissingColumns=True
         )
 
