@@ -8,6 +8,7 @@ plain queries over it would test little. Each fixture is one expression, written
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -191,3 +192,26 @@ def docx_docs(docs: DataFrame) -> DataFrame:
         return pd.Series(made)
 
     return docs.select("doc_id", build("text", "doc_id", "lang", "source").alias("content"))
+
+
+def docx_folder(docs: DataFrame, folder: str) -> str:
+    """Write the files of ``docx_docs`` as ``<doc_id>.docx``, and a few that no job can take; gives the folder."""
+    from pyarrow import fs, record_batch
+
+    def files():
+        return fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", folder))
+
+    def write(batches):
+        system, root = files()
+        for batch in batches:
+            for doc, content in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "content"))):
+                bad = {0: ("txt", content), 1: ("pdf", content), 2: ("docx", content[:100])}
+                suffix, content = bad.get(doc % 50, ("docx", content))
+                with system.open_output_stream(f"{root}/{doc}.{suffix}", compression=None) as out:
+                    out.write(content)
+            yield record_batch({"n": [batch.num_rows]})
+
+    system, root = files()
+    system.create_dir(root, recursive=True)
+    docx_docs(docs).mapInArrow(write, "n bigint").agg(F.sum("n")).first()
+    return folder

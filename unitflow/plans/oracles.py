@@ -381,6 +381,43 @@ ORACLES: dict[str, str] = {
           where reject_reason is not null or doc_id not in (select doc_id from has_text))
         select writer, count(distinct doc_id) as n_docs, count(*) as n_rows
         from results group by writer""",
+    "translate_folder": f"""with {docs(RU_DOCS, ', lang, source')}, {LINES},
+        sizes as (select doc_id, any_value(lang) as lang, any_value(source) as source,
+                         count(*) as n from lines group by doc_id),
+        paras as (
+          select doc_id, i as para_idx, t from lines
+          union all select doc_id, n, lang from sizes
+          union all select doc_id, n + 1, doc_id::varchar from sizes
+          union all select doc_id, n + 2, source from sizes
+          union all select doc_id, n + 3, '' from sizes),
+        kept as (select *, row_number() over (partition by doc_id order by para_idx) - 1 as unit_idx
+          from paras where {strip('t')} <> ''),
+        votes as (select doc_id, sum((v = {RUS})::int) as ru, sum((v = {ENG})::int) as en from (
+          select doc_id, {source('t')} as v from kept where unit_idx < 50) group by doc_id),
+        voted as (select doc_id, case when ru > en then {RUS} else {ENG} end as src_lang from votes),
+        counted as (
+          select doc_id, any_value(src_lang) as src_lang, count(*) as n_paras,
+            sum(({strip('t')} <> '')::int) as n_units,
+            sum(length(case when {strip('t')} = '' then t else {stub('t')} end)) as n_chars
+          from paras join voted using (doc_id) group by doc_id),
+        told as (select *, case doc_id % 50 when 0 then 'unsupported input' when 1 then 'no reader for its pages'
+          when 2 then 'damaged' end as reason from counted)
+        select doc_id, case when reason is null then 'translated' else 'rejected' end as status, reason,
+          case when reason is null then src_lang end as src_lang,
+          (case when reason is null then n_paras when reason = 'damaged' then 0 end)::bigint as n_paras,
+          (case when reason is null then n_units end)::bigint as n_units,
+          (case when reason is null then n_chars end)::bigint as n_chars from told""",
+    "document_outcomes": f"""{RU_UNITS}, {VOTES},
+        counted as (select doc_id, count(*) as n from lines group by doc_id)
+        select doc_id, case when doc_id % 5 <> 0 then src_lang end as src_lang,
+          case when doc_id % 5 = 0 then 0 else (n + 15) // 16 end::bigint as n_parts,
+          case when doc_id % 5 = 0 then 'no text' end as reject_reason
+        from counted join voted using (doc_id)""",
+    "translate_remembered": f"""{RU_UNITS}, {SOURCED}
+        select doc_id, unit_idx, src_lang, {stub('t')} as translated from sourced""",
+    "memory_growth": f"""{RU_UNITS}, {SOURCED},
+        texts as (select src_lang, {strip('t')} as s, bool_or(doc_id % 2 = 0) as half from sourced group by all)
+        select case when half then 'half' else 'all' end as batch, count(*) as n_texts from texts group by all""",
     "reject_sources": f"""{DOC_LINES}, coded as (
         select case (doc_id + i) % 4 when 0 then {ENG} when 1 then {RUS}
           when 2 then 'deu_Latn' end as src_lang from lines)

@@ -13,6 +13,7 @@ from unitflow.operators import (
     batching,
     detector,
     inference,
+    memory,
     placement,
     profiles,
     quality,
@@ -21,7 +22,7 @@ from unitflow.operators import (
     writeback,
 )
 from unitflow.options import ENGLISH, RUSSIAN, Options
-from unitflow.plans import corpus, files, fixtures
+from unitflow.plans import corpus, files, fixtures, folder
 from unitflow.session import fresh_path, materialise
 from unitflow.sources import docx, lines, manifest, sinks
 from unitflow.streaming import documents as document_stream
@@ -298,6 +299,63 @@ def translate_files(spark, d):
     )
 
 
+@query
+def translate_folder(spark, d):
+    """A folder of DOCX files into a folder of results; the record of each file, and what was written for it."""
+    docs = fixtures.documents(spark, d, fixtures.RU_DOCS, "lang", "source")
+    source = fixtures.docx_folder(docs, fresh_path(spark, "folder"))
+    out = fresh_path(spark, "folder-out")
+    done = folder.translate_folder(spark, source, out, STUB)
+    chars = F.sum(F.length(text.paragraph_text(F.col("runs")))).cast("bigint")
+    written = folder.folder_results(spark, out).groupBy("doc_id").agg(chars.alias("n_chars"))
+    joined = done.join(written.withColumnRenamed("doc_id", "path"), "path", "left")
+    return joined.select(
+        F.regexp_extract("path", "([0-9]+)[.][a-z]+$", 1).cast("bigint").alias("doc_id"),
+        "status",
+        F.when(F.col("reason").contains("zip"), "damaged").otherwise(F.col("reason")).alias("reason"),
+        "src_lang",
+        "n_paras",
+        "n_units",
+        "n_chars",
+    )
+
+
+@query
+def document_outcomes(spark, d):
+    docs = fixtures.documents(
+        spark, d, f"case when doc_id % 5 = 0 then repeat(concat(' ', chr(10)), 3) else {fixtures.RU_DOCS} end"
+    )
+    opts = Options(part_units=16)
+    done = materialise(corpus.translate_corpus(spark, docs, STUB, opts))
+    return corpus.document_outcomes(docs, done, opts)
+
+
+def _remembered(spark, d):
+    """Half of the documents, then all, then all once more, through one translation memory."""
+    rows = units.explode_paragraphs(fixtures.ru_docs(spark, d))
+    opts = Options(memory=fresh_path(spark, "memory"))
+    done = None
+    for batch, part in (("half", rows.filter("doc_id % 2 = 0")), ("all", rows), ("again", rows), ("all", rows)):
+        done = inference.translate_units(part, STUB, opts, batch=batch)
+    return done, memory.TranslationMemory(spark, opts.memory, opts)
+
+
+@query
+def translate_remembered(spark, d):
+    return _remembered(spark, d)[0].select("doc_id", "unit_idx", "src_lang", "translated")
+
+
+@query
+def memory_growth(spark, d):
+    """How many texts each batch has added to a memory: none that it knew."""
+    _, held = _remembered(spark, d)
+    rows = None
+    for commit in held.ledger.commits():
+        own = held.ledger.read_of(commit["ids"][0]).select(F.lit(commit["ids"][0]).alias("batch"))
+        rows = own if rows is None else rows.unionByName(own)
+    return rows.groupBy("batch").agg(F.count("*").alias("n_texts"))
+
+
 # --- language -----------------------------------------------------------------------------------
 
 
