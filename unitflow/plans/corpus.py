@@ -131,7 +131,10 @@ def translate_paras(
 
 
 def translate_layout(
-    layout: DataFrame, make_translator: Factory, opts: Options = Options()
+    layout: DataFrame,
+    make_translator: Factory,
+    opts: Options = Options(),
+    batch: str | None = None,
 ) -> DataFrame:
     """Page layouts to translated span units.
 
@@ -139,7 +142,7 @@ def translate_layout(
     the plans behind read the second.
     """
     units = with_voted_source(materialise(explode_spans(layout), "units"), opts)
-    return materialise(translate_units(units, make_translator, opts), "spans")
+    return materialise(translate_units(units, make_translator, opts, batch=batch), "spans")
 
 
 def layout_to_spans(
@@ -154,10 +157,11 @@ def layout_to_pages(
     make_translator: Factory,
     opts: Options = Options(),
     images: DataFrame | None = None,
+    batch: str | None = None,
 ) -> DataFrame:
     """Flowing text of the translated pages, every page of each document listed."""
     pages = layout.groupBy("doc_id").agg((F.max("page") + 1).alias("n_pages"))
-    return assemble_pages(translate_layout(layout, make_translator, opts), images, pages)
+    return assemble_pages(translate_layout(layout, make_translator, opts, batch), images, pages)
 
 
 def translate_lines(

@@ -572,4 +572,5 @@ ORACLES: dict[str, str] = {
           select *, {source('t')} as src_lang from lines where {strip('t')} <> '')
         select doc_id, i as para_idx, src_lang, {stub('t')} as translated from sourced""",
     "stream_docs": CORPUS,
+    "stream_layout": f"select *, 'complete' as status from ({SPAN_PAGES})",
 }

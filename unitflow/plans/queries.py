@@ -26,6 +26,7 @@ from unitflow.plans import corpus, files, fixtures, folder
 from unitflow.session import fresh_path, materialise
 from unitflow.sources import docx, lines, manifest, sinks
 from unitflow.streaming import documents as document_stream
+from unitflow.streaming import layouts as layout_stream
 from unitflow.streaming import lines as line_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -717,3 +718,17 @@ def stream_docs(spark, d):
         docs, STUB, out, fresh_path(spark, "offsets")
     ).awaitTermination()
     return spark.read.parquet(out).select("doc_id", "part", "n_pieces", "text")
+
+
+@query
+def stream_layout(spark, d):
+    """Pages of all documents, arriving over several micro-batches, assembled document by document."""
+    pages = fixtures.layout_docs(fixtures.ru_docs(spark, d))
+    counted = pages.join(fixtures.page_counts(pages), "doc_id")
+    folder_, out = fresh_path(spark, "pages"), fresh_path(spark, "stream-layout")
+    # even pages come first, so that no document of two pages is whole in one batch
+    for late in (0, 1):
+        counted.where(F.col("page") % 2 == late).coalesce(1).write.mode("append").parquet(folder_)
+    stream = spark.readStream.schema(counted.schema).option("maxFilesPerTrigger", 1).parquet(folder_)
+    layout_stream.watch_layouts(stream, STUB, out, fresh_path(spark, "offsets")).awaitTermination()
+    return spark.read.parquet(out).select("doc_id", "page", "n_items", "text", "status")
