@@ -1,4 +1,4 @@
-"""Profiles against brute force; broadcast and salted joins agree."""
+"""Profiles against brute force; the bounded profile and the salted join agree."""
 
 import math
 from collections import Counter
@@ -38,12 +38,12 @@ def test_training(units):
     assert {(r.lang, r.gram): r.logp for r in got.collect()} == brute_profile()
 
 
-@pytest.mark.parametrize("broadcast_grams", [0, 10_000])
-def test_classification(spark, units, broadcast_grams):
+@pytest.mark.parametrize("max_bytes", [0, 10_000])
+def test_classification(spark, units, max_bytes):
     trained = profiles.train_profiles(units, LABELS)
     asked = [(9, 0, "abc"), (9, 1, "dcd"), (9, 2, "zzz"), (9, 3, ""), (9, 4, "a😀zb"), (9, 5, "azb")]
     df = spark.createDataFrame(asked, "doc_id bigint, unit_idx bigint, text string")
-    got = profiles.classify(df, trained, broadcast_grams=broadcast_grams)
+    got = profiles.classify(df, trained, max_bytes=max_bytes)
     model, want = brute_profile(), []
     for d, u, t in asked:
         known = [g for g in grams(t) if ("aa", g) in model]

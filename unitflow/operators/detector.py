@@ -83,16 +83,20 @@ def gram_key(gram: str) -> int:
     return sum((ord(c) + 1) << (CODE_BITS * i) for i, c in enumerate(gram))
 
 
+def profile_bytes(profiles: DataFrame) -> int:
+    """What a trained profile (gram, label ...) takes in memory: a key and a score for each label."""
+    return 8 * len(profiles.columns) * profiles.count()
+
+
 def load_profile(profiles: DataFrame, max_bytes: int = PROFILE_BYTES) -> Profile:
     """The trained profile (gram, label ...) as one object; refused where it has more than ``max_bytes``.
 
     A larger profile is for ``profiles.classify``, or trained on grams that are less rare.
     """
     labels = [c for c in profiles.columns if c != "gram"]
-    rows = profiles.count()
-    size = 8 * rows * (len(labels) + 1)
+    size = profile_bytes(profiles)
     if size > max_bytes:
-        raise ValueError(f"a profile of {rows} grams takes {size} bytes, more than {max_bytes}")
+        raise ValueError(f"a profile of {size} bytes is more than {max_bytes}")
     table = profiles.select("gram", *labels).toArrow()
     keys = np.array([gram_key(g) for g in table.column("gram").to_pylist()], dtype=np.int64)
     scores = np.stack([table.column(x).to_numpy() for x in labels], axis=1).astype(np.int64)

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from unitflow.functions.language import needs_detector, source_of, text_profile
 from unitflow.functions.ngrams import char_grams, longest_grams
+from unitflow.operators.detector import PROFILE_BYTES, detected_label, load_profile, profile_bytes
 from unitflow.options import ENGLISH
 from unitflow.session import materialise
 
 MICRO = 1_000_000  # log-probabilities are whole millionths: sums do not depend on their order
-BROADCAST_GRAMS = 1_000_000  # most grams of a profile that is broadcast
-SALTS = 64
 
 
 def gram_counts(docs: DataFrame, labels: Sequence[str], label: str = "lang") -> DataFrame:
@@ -74,66 +73,27 @@ def best_label(scores: dict[str, Column]) -> Column:
     return out
 
 
-def cumulated(profiles: DataFrame) -> DataFrame:
-    """Each gram with the summed scores of itself and of the shorter grams it begins with."""
-    labels = [c for c in profiles.columns if c != "gram"]
-    wide = profiles.select("gram", F.struct(*labels).alias("own"))
-    prefix = lambda k: F.when(F.length("gram") > k, F.substring("gram", 1, k))
-    out = wide.withColumn("_p1", prefix(1)).withColumn("_p2", prefix(2))
-    for p in ("_p1", "_p2"):
-        shorter = wide.select(F.col("gram").alias(p), F.col("own").alias(f"s{p}"))
-        out = out.join(shorter, p, "left")
-    total = lambda x: (
-        F.col(f"own.{x}")
-        + F.coalesce(F.col(f"s_p1.{x}"), F.lit(0))
-        + F.coalesce(F.col(f"s_p2.{x}"), F.lit(0))
-    )
-    return out.select("gram", *[total(x).alias(x) for x in labels])
-
-
-def _score_by_broadcast(grams: DataFrame, profiles: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """Rows of ``_g``, the longest gram at a position, scored by their longest known beginning.
-
-    The cumulated score of that beginning holds those of all known shorter ones, so it is the
-    score of the position. Shorter beginnings are looked up where longer ones were not found.
-    """
-    known = cumulated(profiles).select("gram", F.struct(*labels).alias("s"))
-    found = F.lit(None)
-    out = grams
-    for n in (3, 2, 1):
-        side = known.select(F.col("gram").alias(f"_k{n}"), F.col("s").alias(f"_s{n}"))
-        key = F.when(found.isNull(), F.substring("_g", 1, n)) if n < 3 else F.col("_g")
-        out = out.withColumn(f"_k{n}", key).join(F.broadcast(side), f"_k{n}", "left")
-        found = F.coalesce(found, F.col(f"_s{n}")) if n < 3 else F.col("_s3")
-    return out.withColumn("_s", found).filter(F.col("_s").isNotNull()).select(
-        *[c for c in grams.columns if c != "_g"], *[F.col(f"_s.{x}").alias(x) for x in labels]
-    )
-
-
 def classify(
     units: DataFrame,
     profiles: DataFrame,
     keys: Sequence[str] = ("doc_id", "unit_idx"),
-    broadcast_grams: int = BROADCAST_GRAMS,
+    max_bytes: int = PROFILE_BYTES,
 ) -> DataFrame:
     """(keys, label): best label of each unit that has at least one known gram.
 
-    A profile has a row of a few dozen bytes per gram. Up to ``broadcast_grams`` rows it is
-    broadcast, and a unit's grams are summed where they are made; only one row per unit and task
-    is shuffled. A larger profile is joined by (gram, salt), for single letters are hot keys.
+    A profile of up to ``max_bytes`` (``detector.profile_bytes``) goes along with the tasks, and a unit is labelled in its
+    row. A larger one is joined by (gram, salt), for single letters are hot keys, with a salt for every core.
     """
     labels = [c for c in profiles.columns if c != "gram"]
-    if profiles.count() <= broadcast_grams:
-        grams = units.select(*keys, F.explode(longest_grams(F.col("text"))).alias("_g"))
-        scored = _score_by_broadcast(grams, profiles, labels)
-    else:
-        grams = units.select(*keys, F.explode(char_grams(F.col("text"))).alias("gram"))
-        salted = profiles.withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-        )
-        scored = grams.withColumn(
-            "_salt", F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
-        ).join(salted, ["gram", "_salt"])
+    if profile_bytes(profiles) <= max_bytes:
+        label = detected_label(F.coalesce(F.col("text"), F.lit("")), load_profile(profiles, max_bytes))
+        return units.select(*keys, label.alias("label")).filter(F.col("label").isNotNull())
+    salts = units.sparkSession.sparkContext.defaultParallelism
+    grams = units.select(*keys, F.explode(char_grams(F.col("text"))).alias("gram"))
+    salted = profiles.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    scored = grams.withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int")).join(
+        salted, ["gram", "_salt"]
+    )
     sums = scored.groupBy(*keys).agg(*[F.sum(x).alias(x) for x in labels])
     return sums.select(*keys, best_label({x: F.col(x) for x in labels}).alias("label"))
 
@@ -143,14 +103,19 @@ def detect_with_profiles(
     profiles: DataFrame,
     default: str = ENGLISH,
     keys: Sequence[str] = ("doc_id", "unit_idx"),
-    broadcast_grams: int = BROADCAST_GRAMS,
+    max_bytes: int = PROFILE_BYTES,
 ) -> DataFrame:
-    """Add ``detected`` and ``src_lang``; only texts that a label can decide are classified."""
+    """Add ``detected`` and ``src_lang``; only texts that a label can decide are classified.
+
+    With a profile of up to ``max_bytes`` nothing is joined; ``keys`` name a unit where a larger one is.
+    """
     profiled = units.withColumn("_profile", text_profile(F.col("text")))
-    open_units = profiled.filter(needs_detector(F.col("_profile"))).select(*keys, "text")
-    labels = classify(open_units, profiles, keys, broadcast_grams)
-    return (
-        profiled.join(labels.withColumnRenamed("label", "detected"), list(keys), "left")
-        .withColumn("src_lang", source_of(F.col("_profile"), default, F.col("detected")))
-        .drop("_profile")
-    )
+    if profile_bytes(profiles) <= max_bytes:
+        asked = F.when(needs_detector(F.col("_profile")), F.col("text"))
+        told = profiled.withColumn("detected", detected_label(asked, load_profile(profiles, max_bytes)))
+    else:
+        open_units = profiled.filter(needs_detector(F.col("_profile"))).select(*keys, "text")
+        labels = classify(open_units, profiles, keys, max_bytes)
+        told = profiled.join(labels.withColumnRenamed("label", "detected"), list(keys), "left")
+    source = source_of(F.col("_profile"), default, F.col("detected"))
+    return told.withColumn("src_lang", source).drop("_profile")

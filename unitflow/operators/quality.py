@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from unitflow.functions.text import is_blank, normalize_uz
@@ -48,19 +48,21 @@ def contains_any(words: Sequence[str]) -> Column:
     return hit
 
 
-def check(units: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
-    """(rule, passed, failed): boolean rules over units, all in one pass.
-
-    ``same_count`` is always reported: units with a text against units with a result.
-    """
-    totals = [F.count_if(F.coalesce(rule, F.lit(False))).alias(f"r{i}")
-              for i, rule in enumerate(rules.values())]
-    one = units.agg(
-        F.count("*").alias("n"),
+def rule_totals(rules: Mapping[str, Column]) -> list[Column]:
+    """The aggregates behind ``check``: ``n``, ``n_in``, ``n_out``, and ``r0``, ``r1`` ... for the rules."""
+    return [
+        F.count(F.lit(1)).alias("n"),
         F.count("text").alias("n_in"),
         F.count("translated").alias("n_out"),
-        *totals,
-    )
+        *[
+            F.count_if(F.coalesce(rule, F.lit(False))).alias(f"r{i}")
+            for i, rule in enumerate(rules.values())
+        ],
+    ]
+
+
+def rule_report(totals: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    """(rule, passed, failed) out of a row of ``rule_totals``."""
     rows = [
         F.struct(
             F.lit(name).alias("rule"),
@@ -76,7 +78,51 @@ def check(units: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
             F.abs(F.col("n_in") - F.col("n_out")).alias("failed"),
         )
     )
-    return one.select(F.inline(F.array(*rows)))
+    return totals.select(F.inline(F.array(*rows)))
+
+
+def check(units: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
+    """(rule, passed, failed): boolean rules over units, all in one pass.
+
+    ``same_count`` is always reported: units with a text against units with a result.
+    """
+    return rule_report(units.agg(*rule_totals(rules)), rules)
+
+
+class ObservedChecks:
+    """The checks of ``check``, counted while a job passes its units on: no second scan and no job of their own.
+
+        checks = ObservedChecks(rules)
+        checks.watch(units).write.parquet(...)   # any one action
+        checks.report(spark)                     # (rule, passed, failed)
+
+    On a stream, ``watch`` counts each micro-batch, and ``of_progress`` reads a batch's counts from its progress. Spark
+    counts a task's rows when it has ended; a task that runs again for a lost shuffle file may be counted twice, so
+    watch what is written rather than what is shuffled, and use ``check`` where a count decides something.
+    """
+
+    def __init__(self, rules: Mapping[str, Column], name: str = "checks"):
+        self.rules, self.name = dict(rules), name
+        self.observation = Observation(name)
+
+    def watch(self, units: DataFrame) -> DataFrame:
+        """The same rows; a batch DataFrame may be watched once."""
+        target = self.name if units.isStreaming else self.observation
+        return units.observe(target, *rule_totals(self.rules))
+
+    def report(self, spark: SparkSession) -> DataFrame:
+        """The counts of the one action that has run over the watched units."""
+        return self._report(spark, self.observation.get)
+
+    def of_progress(self, spark: SparkSession, progress: Mapping) -> DataFrame | None:
+        """The counts of a micro-batch (``StreamingQuery.recentProgress``), None where it has none."""
+        found = progress["observedMetrics"].get(self.name)
+        return None if found is None else self._report(spark, found if isinstance(found, dict) else found.asDict())
+
+    def _report(self, spark: SparkSession, counts: Mapping[str, int]) -> DataFrame:
+        names = ["n", "n_in", "n_out", *[f"r{i}" for i in range(len(self.rules))]]
+        row = spark.range(1).select(*[F.lit(int(counts[n])).cast("bigint").alias(n) for n in names])
+        return rule_report(row, self.rules)
 
 
 def batch_check(units: DataFrame, batch_size: int = 32) -> DataFrame:

@@ -568,6 +568,14 @@ ORACLES: dict[str, str] = {
         union all select 'same_count', least(count(t), count(translated)),
           abs(count(t) - count(translated)) from judged
         union all select 'whole_batch', count(*) filter (ok), count(*) filter (not ok) from batches""",
+    "checks_observed": f"""{JUDGED}
+        select 'non_empty' as rule, count(*) filter ({GOOD}) as passed,
+          count(*) filter (not ({GOOD})) as failed from judged
+        union all select 'greets', count(*) filter (h), count(*) filter (not h) from (
+          select contains(lower(coalesce(translated, '')), 'salom')
+              or contains(lower(coalesce(translated, '')), 'qanday') as h from judged)
+        union all select 'same_count', least(count(t), count(translated)),
+          abs(count(t) - count(translated)) from judged""",
     "stream_lines": f"""{RU_LINES}, sourced as (
           select *, {source('t')} as src_lang from lines where {strip('t')} <> '')
         select doc_id, i as para_idx, src_lang, {stub('t')} as translated from sourced""",

@@ -689,6 +689,15 @@ def checks(spark, d):
     return quality.check(rows, rules).unionByName(quality.batch_check(rows, 4))
 
 
+@query
+def checks_observed(spark, d):
+    """The rules' counts, taken while the units are written."""
+    rules = {"non_empty": quality.non_empty(), "greets": quality.contains_any(["salom", "qanday"])}
+    watched = quality.ObservedChecks(rules)
+    materialise(watched.watch(_judged(spark, d)), "watched")
+    return watched.report(spark)
+
+
 # --- streams ------------------------------------------------------------------------------------
 
 

@@ -46,21 +46,20 @@ class PageAssembler(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         (doc,) = key
-        n_pages, come = self.count.get() if self.count.exists() else (0, 0)
+        if self.left.exists():
+            for row in rows:
+                yield _Page(doc, row.page, row.layout, row.n_pages, LATE)
+            return
+        n_pages, come = self.count.get() or (0, 0)
         first = come == 0
         for row in rows:
-            if self.left.exists():
-                yield _Page(doc, row.page, row.layout, row.n_pages, LATE)
-                continue
             if not self.pages.containsKey((row.page,)):
                 come += 1
             # a page that comes again replaces itself
             self.pages.updateValue((row.page,), (row.layout,))
             n_pages = max(n_pages, row.n_pages or 0)
-        if self.left.exists():
-            return
         if come >= n_pages > 0:
-            for timer in list(self.handle.listTimers()):
+            for timer in [] if first else list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
             yield from self._leave(doc, n_pages, COMPLETE)
             return
