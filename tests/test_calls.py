@@ -129,9 +129,9 @@ def test_a_wrong_count_ends_the_job_all_the_same():
 
 def test_blank_units_are_spread_in_the_join(spark):
     units = spark.range(2000).selectExpr("id as unit_idx", "if(id % 2 = 0, '  ', concat('t', id % 7)) as text")
-    body = inference.keyed_bodies(units.withColumn("src_lang", F.lit(ENGLISH)))
-    assert body.filter("_key is null").count() == 1000
-    assert inference.distinct_bodies(body).count() == 7
+    sourced = units.withColumn("src_lang", F.lit(ENGLISH))
+    assert inference.keyed_bodies(sourced).filter("_key is null").count() == 1000
+    assert inference.distinct_bodies(sourced).count() == 7
     done = inference.translate_units(units, inference.stub_translator, Options())
     assert done.filter("translated = ''").count() == 1000 and done.count() == 2000
     plan = executed_plan(done)

@@ -13,7 +13,7 @@ from dataclasses import replace
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -180,16 +180,24 @@ def translate_stage(
     return body.mapInArrow(run, schema, profile=profile)
 
 
+def body_key() -> Column:
+    """A digest of source and body."""
+    return F.unhex(F.sha2(F.concat_ws(":", "src_lang", "_body"), 256))
+
+
 def keyed_bodies(units: DataFrame) -> DataFrame:
     """Units with ``_body`` and ``_key``, a digest of source and body; blank bodies have no key."""
-    key = F.unhex(F.sha2(F.concat_ws(":", "src_lang", "_body"), 256))
-    return with_body(units).withColumn("_key", F.when(F.col("_body") != "", key))
+    return with_body(units).withColumn("_key", F.when(F.col("_body") != "", body_key()))
 
 
-def distinct_bodies(body: DataFrame) -> DataFrame:
-    """(_key, _body, src_lang, _copies): each distinct text once, counted with a map-side combine."""
-    given = body.filter(F.col("_key").isNotNull())
-    return given.groupBy("_key", "_body", "src_lang").agg(F.count("*").alias("_copies"))
+def distinct_bodies(units: DataFrame) -> DataFrame:
+    """(_key, _body, src_lang, _copies): each distinct text once, counted with a map-side combine.
+
+    Only the distinct texts get a key: one in a filter would have every unit's language found twice.
+    """
+    given = with_body(units).filter(F.col("_body") != "")
+    copies = given.groupBy("_body", "src_lang").agg(F.count("*").alias("_copies"))
+    return copies.select(body_key().alias("_key"), "_body", "src_lang", "_copies")
 
 
 def join_translations(
@@ -223,10 +231,9 @@ def translate_distinct(
     Copies are counted with a map-side combine; the translated texts are written as a table and
     joined back by their digest. That table's counts say which texts are hot, and those are salted.
     """
-    body = keyed_bodies(units)
-    done = translate_bodies(distinct_bodies(body), make_translator, opts, profile)
+    done = translate_bodies(distinct_bodies(units), make_translator, opts, profile)
     table = materialise(done.select("_key", "_copies", *result_columns(opts)), "translations")
-    return join_translations(body, table, opts, hot_share, hot_rows)
+    return join_translations(keyed_bodies(units), table, opts, hot_share, hot_rows)
 
 
 def translate_bodies(

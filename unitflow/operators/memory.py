@@ -74,8 +74,7 @@ def translate_remembered(
     Texts that fail (``on_error='row'``) are not remembered, so a later run tries them again.
     """
     memory = TranslationMemory(units.sparkSession, opts.memory, opts)
-    body = keyed_bodies(units)
-    bodies = materialise(distinct_bodies(body), "bodies")
+    bodies = materialise(distinct_bodies(units), "bodies")
     new = materialise(memory.unknown(bodies), "new-bodies")
     columns = result_columns(opts)
     failed = None
@@ -95,4 +94,4 @@ def translate_remembered(
         told = told if failed is None else told.unionByName(failed.select(*told.columns))
     table = materialise(bodies.select("_key", "_copies").join(told, "_key"), "remembered")
     discard(new, bodies)
-    return join_translations(body, table, opts)
+    return join_translations(keyed_bodies(units), table, opts)
