@@ -206,7 +206,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     """Word vectors from all of ``docs``, and a network from at most ``sample`` labelled documents.
 
     Labels of the held-out fold are not used, nor null ones, nor those of a ``doc_id`` that is labelled both
-    ways. If there are more than ``sample``, those with the least hash of their id are taken.
+    ways. If there are more than ``sample``, those with the least hash of their id are taken. Of rows that
+    repeat an id, the one with the least hash of its text stands for it.
     """
     vectors = word_vectors(docs)
     sent = docs.sparkSession.sparkContext.broadcast(vectors)
@@ -220,13 +221,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         slots = _Slots()
         for batch, texts in _batches(batches):
             x = _pooled(texts, sent.value, slots)
-            arrays = [batch.column("label"), pa.array(list(x), pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["label", "x"])
+            x = pa.array(list(x), pa.list_(pa.float64()))
+            arrays = [batch.column("id"), batch.column("hash"), batch.column("label"), x]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "hash", "label", "x"])
 
     # at most ``sample`` rows of two numbers
     labelled = docs.join(F.broadcast(known), F.col("doc_id") == F.col("__id"))
-    labelled = labelled.select(text_of().alias("text"), F.col("__label").alias("label"))
-    rows = labelled.mapInArrow(features, "label double, x array<double>").collect()
+    labelled = labelled.select(
+        F.col("__id").alias("id"),
+        F.xxhash64(text_of()).alias("hash"),
+        F.col("__label").alias("label"),
+        text_of().alias("text"),
+    )
+    found = labelled.mapInArrow(features, "id long, hash long, label double, x array<double>")
+    # one row for each id, however often it repeats; tasks cut their own rows first
+    one = found.groupBy("id").agg(F.min(F.struct("hash", "label", "x")).alias("one"))
+    rows = one.select("one.label", "one.x").collect()
     if not rows:
         x, y = np.zeros((1, 2 * SIZE + 2)), np.array([0.5])
     else:
