@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from unitflow.llm.common import text_of
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-BATCH_CHARS = 2_000_000  # text that is encoded at a time
+BATCH_CHARS = 4_000_000  # text that is encoded at a time
 LONG = 1 << 20  # code points from which a text is split piece by piece
 CACHED = 192 << 20  # bytes of pieces and their ids that a worker remembers
 ENTRY = 150  # bytes that a remembered piece takes beside its text and ids
 STRETCH = 1 << 20  # ids that are decoded at a time
+ROUND_ROWS = 6_000_000  # rows that one query may keep, about 150 MB
 SHORT = 128  # bytes up to which all rounds of a word are kept until the end
 
 _MERGES = """
@@ -148,9 +149,19 @@ class DuckBpe:
             yield part
 
     def _contract(self, words: list[bytes], query: str) -> list[bytes]:
-        """The ids of each word, packed as 32-bit integers."""
-        if not words:
-            return []
+        """The ids of each word, packed as 32-bit integers; as many words a query as its rows allow."""
+        lengths = np.array([len(w) for w in words], dtype=np.int64)
+        # a short word of n bytes keeps at most n + (n - 1) + ... + 1 rows, a long one its n
+        kept = lengths * (lengths + 1) // 2 if query is _SHORT_WORDS else 8 * lengths
+        group = np.cumsum(kept) // ROUND_ROWS
+        edges = [0, *(np.nonzero(np.diff(group))[0] + 1).tolist(), len(words)]
+        out: list[bytes] = []
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            if lo < hi:
+                out += self._contract_some(words[lo:hi], query)
+        return out
+
+    def _contract_some(self, words: list[bytes], query: str) -> list[bytes]:
         lengths = np.array([len(w) for w in words])
         ends = np.cumsum(lengths)
         tok = self.of_byte[np.frombuffer(b"".join(words), dtype=np.uint8)]
@@ -254,7 +265,7 @@ def _encoder(ranks: str | None, pattern: str | None) -> DuckBpe:
     return _WORKER[key]
 
 
-def groups(texts: list[str], chars: int = BATCH_CHARS) -> Iterator[slice]:
+def groups(texts: list[str], chars: int = 2_000_000) -> Iterator[slice]:
     """Slices of neighbouring texts with about ``chars`` code points each."""
     low = size = 0
     for i, text in enumerate(texts):
@@ -280,7 +291,7 @@ def encode_decode(docs: DataFrame, ranks: str | None = None, pattern: str | None
         bpe = _encoder(ranks, pattern)
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for part in groups(texts):
+            for part in groups(texts, BATCH_CHARS):
                 packed = bpe.encode(texts[part])
                 offsets = [0]
                 for p in packed:
