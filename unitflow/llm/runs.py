@@ -6,10 +6,9 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from unitflow.llm.common import id_of
-from unitflow.session import exists, fresh_path, remove
+from unitflow.session import fresh_path, remove
 
 
 class LevelledRuns:
@@ -17,10 +16,12 @@ class LevelledRuns:
 
     A batch is a run of level 0; as soon as a level has ``fanout`` runs, they become one run of the next
     level. A key is in one run only. The driver holds the runs' paths, nothing of their rows.
+    ``live``: a condition for the rows of a lent table that belong to its run.
     """
 
-    def __init__(self, spark: SparkSession, key: list[str], fanout: int):
+    def __init__(self, spark: SparkSession, key: list[str], fanout: int, live: str = "true"):
         self.spark, self.key, self.fanout, self.made = spark, key, fanout, 0
+        self.live, self.lent = live, set()
         self.path = fresh_path(spark, "runs")
         self.runs: list[tuple[int, str]] = []  # (level, path), oldest first
         self.schema = None
@@ -29,7 +30,11 @@ class LevelledRuns:
         return [self._read(path) for _, path in self.runs]
 
     def _read(self, *paths: str) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(*paths)
+        return self.spark.read.schema(self.schema).parquet(*paths).where(self.live)
+
+    def _remove(self, path: str) -> None:
+        if path not in self.lent:
+            remove(self.spark, path)
 
     def _write(self, rows: DataFrame, level: int) -> None:
         path = f"{self.path}/level={level}-run={self.made}"
@@ -38,14 +43,11 @@ class LevelledRuns:
         rows.sortWithinPartitions(*self.key).write.parquet(path)
         self.runs.append((level, path))
 
-    def adopt(self, path: str, schema: StructType) -> None:
-        """Take a table of new keys, already sorted by them within its files, as a run of level 0.
-
-        A batch without a new key has written no folder and is no run.
-        """
-        if exists(self.spark, path):
-            self.schema = schema
-            self.runs.append((0, path))
+    def lend(self, table: DataFrame) -> None:
+        """Take the live rows of a written table of new keys as a run of level 0; the table stays its owner's."""
+        self.schema = table.schema
+        self.lent.add(table.written_to)
+        self.runs.append((0, table.written_to))
 
     def add(self, rows: DataFrame) -> DataFrame:
         """Write the rows whose key no run holds as a run of their own; gives that run."""
@@ -57,7 +59,7 @@ class LevelledRuns:
     def drop(self) -> None:
         """Delete all runs."""
         for _, path in self.runs:
-            remove(self.spark, path)
+            self._remove(path)
         self.runs = []
 
     def compact(self) -> None:
@@ -69,7 +71,7 @@ class LevelledRuns:
                 self.runs = [run for run in self.runs if run[0] != level]
                 self._write(self._read(*full).repartition(*self.key), level + 1)
                 for path in full:
-                    remove(self.spark, path)
+                    self._remove(path)
             level += 1
 
 
