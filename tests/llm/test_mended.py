@@ -62,3 +62,17 @@ def test_texts_of_one_hash_under_one_id(spark):
     # nothing of b is in document 1 but the padding, which is under fifty bytes of another text
     longest = max(n for n in range(61) if a[:n] == b[:n])
     assert (2, b if longest < 50 else b[longest:]) in kept
+
+
+def test_long_segments_are_cut_whole():
+    texts = [b"a" * 500, b"x" * 49, b"ab" * 200 + bytes(range(256)), b""]
+    row, start, n, _, _ = suffix_dedup._segments(texts, 50, suffix_dedup._Hasher(), 20, 0, 1)
+    assert n.max() == suffix_dedup.MAX_SEGMENT
+    starts = [(int(r), int(a) + i) for r, a, k in zip(row, start, n, strict=True) for i in range(k)]
+    assert sorted(starts) == [(r, i) for r, t in enumerate(texts) for i in range(len(t) - 49)]
+
+
+def test_runs_of_neighbouring_places():
+    place = lambda start, n: start * suffix_dedup.MAX_SEGMENT + n - 1
+    low, high = suffix_dedup._runs([place(70, 5), place(0, 64), place(64, 3), place(1, 2), place(75, 1)])
+    assert (low.tolist(), high.tolist()) == ([0, 70], [67, 76])
