@@ -702,12 +702,9 @@ def checks_observed(spark, d):
 
 
 def _document_stream(spark, d):
-    """The documents table as a stream: its files are taken as they arrive."""
-    return (
-        spark.readStream.schema(schemas.DOCUMENTS)
-        .option("pathGlobFilter", "documents.parquet")
-        .parquet(d)
-    )
+    """The documents table as a stream, one file or a folder of them: its files are taken as they arrive."""
+    # a pattern stands for files and folders alike, a plain path of a stream for a folder only
+    return spark.readStream.schema(schemas.DOCUMENTS).parquet(f"{d}/documents.parque[t]")
 
 
 @query
