@@ -26,6 +26,8 @@ NO_BREAK_SPACE = "\u00a0"
 # A question mark that stands for a lost apostrophe.
 LOST_AFTER_O_OR_G = "(?<=[OoGg])\\?(?=[A-Za-z'])"
 LOST_BETWEEN_LETTERS = "(?<=[A-Za-z])\\?(?=[A-Za-z])"
+# Either of them in one pass, the question mark found first: neither looks at what the other has put in.
+LOST_APOSTROPHE = "\\?(?:(?<=[OoGg]\\?)(?=[A-Za-z'])|(?<=[A-Za-z]\\?)(?=[A-Za-z]))"
 
 # Characters that end a sentence where white space follows.
 SENTENCE_ENDS = ".!?…"
@@ -52,16 +54,14 @@ def is_blank(text: Column) -> Column:
 def normalize_uz(text: Column) -> Column:
     """ASCII apostrophes, quotes, hyphens and spaces; lost apostrophes restored. Idempotent.
 
-    Only texts with a question mark pay for the two patterns.
+    Only texts with a question mark pay for the pattern.
     """
     mapped = F.translate(
         text,
         APOSTROPHES + QUOTES + DASHES + NO_BREAK_SPACE,
         "'" * len(APOSTROPHES) + '"' * len(QUOTES) + "-" * len(DASHES) + " ",
     )
-    restored = F.regexp_replace(
-        F.regexp_replace(mapped, LOST_AFTER_O_OR_G, "'"), LOST_BETWEEN_LETTERS, "'"
-    )
+    restored = F.regexp_replace(mapped, LOST_APOSTROPHE, "'")
     return F.when(F.contains(text, F.lit("?")), restored).otherwise(mapped)
 
 
@@ -87,12 +87,13 @@ def final_text(translated: Column, text: Column) -> Column:
 
 def tokens_to_text(tokens: Column) -> Column:
     """Drop a leading language tag, join sentence pieces, strip, normalise."""
-    tagged = F.coalesce(F.get(tokens, 0).rlike(LANGUAGE_TAG), F.lit(False))
-    kept = F.when(tagged, F.slice(tokens, 2, F.greatest(F.size(tokens), F.lit(1)))).otherwise(
-        tokens
+    # each step names what it works on once: Spark evaluates an expression with a lambda in it again at every place
+    kept = F.filter(
+        tokens, lambda t, i: ~((i == 0) & F.coalesce(t.rlike(LANGUAGE_TAG), F.lit(False)))
     )
     joined = F.replace(F.array_join(kept, ""), F.lit(WORD_MARK), F.lit(" "))
-    return normalize_uz(strip_ws(joined))
+    stripped = F.transform(F.array(joined), strip_ws)
+    return F.get(F.transform(stripped, normalize_uz), F.lit(0))
 
 
 def paragraph_text(runs: Column) -> Column:
