@@ -9,7 +9,7 @@ from unitflow.functions.text import final_text, replace_runs, strip_ws
 from unitflow.operators.joins import join_copies
 from unitflow.operators.ordinals import blocked_sum_before, ordinal
 from unitflow.options import KIND_SPAN, PAGE_HEADING
-from unitflow.session import discard, materialise
+from unitflow.session import materialise
 
 # --- Fixed values: simple pagination -----------------------------------------------------------
 PAGE_TOP = 50
@@ -152,17 +152,28 @@ def _ranked(items: DataFrame) -> DataFrame:
     """Add ``_at``, each item's place on its page.
 
     Items are cut into ranges of their whole order; a page's ranges are counted and each range is
-    ranked on its own, so no task ever holds a page. They are written before ranges are sampled
-    (which would run what made them once more) and after, so that the ranges are read twice.
+    ranked on its own, so no task ever holds a page. ``items`` is written already, as sampling ranges reads it
+    once more; the ranges are written too, as they are read twice.
     """
     order = ["y", "rank", "ord"]
-    written = materialise(items, "page-items")
-    ranges = written.repartitionByRange("doc_id", "page", *order)
+    ranges = items.repartitionByRange("doc_id", "page", *order)
     cut = materialise(ranges.withColumn("_range", F.spark_partition_id()), "page-ranges")
-    discard(written)
     return blocked_sum_before(cut, ["doc_id", "page"], order, F.col("_range"), F.lit(1), "_at")
 
 
+def _with_part(items: DataFrame, part_items: int) -> DataFrame:
+    """Add ``part``. Only pages of more than ``part_items`` items need the places of their items for it."""
+    counts = items.groupBy("doc_id", "page").agg(F.count("*").alias("_n"))
+    long = materialise(counts.filter(F.col("_n") > part_items).drop("_n"), "long-pages")
+    if long.isEmpty():
+        return items.withColumn("part", F.lit(0).cast("bigint"))
+    of_page = items["doc_id"].eqNullSafe(long["doc_id"]) & items["page"].eqNullSafe(long["page"])
+    ranked = _ranked(items.join(long, of_page, "left_semi"))
+    placed = ranked.withColumn("part", F.expr(f"_at div {int(part_items)}")).drop("_at", "_range")
+    rest = items.join(long, of_page, "left_anti").withColumn("part", F.lit(0).cast("bigint"))
+    return placed.unionByName(rest)
+
+
 def assemble_pages(
     units: DataFrame,
     images: DataFrame | None = None,
@@ -174,8 +185,11 @@ def assemble_pages(
     Blocks are ordered by height, at the same height text before images, then in their own
     order. Pages of more than ``part_items`` blocks continue in parts 1, 2, ...
     """
-    ranked = _ranked(page_items(units, images, pages))
-    items = ranked.withColumn("part", F.expr(f"_at div {int(part_items)}"))
+    items = page_items(units, images, pages)
+    # items are read twice and more: from a written table they are cheap to make
+    if not hasattr(units, "written_to"):
+        items = materialise(items, "page-items")
+    items = _with_part(items, part_items)
     gathered = items.groupBy("doc_id", "page", "part").agg(
         F.array_sort(F.collect_list(F.struct("y", "rank", "ord", "payload"))).alias("_items")
     )
