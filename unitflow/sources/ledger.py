@@ -34,12 +34,13 @@ class Ledger:
         files, folder = hadoop_path(self.spark, f"{self.path}/commits")
         if not files.exists(folder):
             return []
-        found = []
-        for status in files.listStatus(folder):
-            name = status.getPath().getName()
-            if re.fullmatch(r"\d+\.json", name):
-                lines = self.spark.read.text(status.getPath().toString(), wholetext=True).first()
-                found.append({"number": int(name[:-5]), **json.loads(lines.value)})
+        paths = [status.getPath() for status in files.listStatus(folder)]
+        paths = [p.toString() for p in paths if re.fullmatch(r"\d+\.json", p.getName())]
+        if not paths:
+            return []
+        # one job for all of them: a job each would be as many as the square of the commits
+        texts = self.spark.read.text(paths, wholetext=True).select("_metadata.file_name", "value").collect()
+        found = [{"number": int(name[:-5]), **json.loads(text)} for name, text in texts]
         found.sort(key=lambda c: c["number"])
         # a compacted table stands for all commits before it
         last = max((i for i, c in enumerate(found) if c["whole"]), default=0)
@@ -66,7 +67,7 @@ class Ledger:
         """Write rows into a folder of their own, which no reader sees yet; gives its name."""
         folder = uuid.uuid4().hex
         names = [f.name for f in self.schema]
-        rows.select(*names).write.parquet(f"{self.path}/data/{folder}")
+        rows.select(*names).write.parquet(f"{self.path}/data/{folder}", compression="zstd")
         return folder
 
     def commit(self, folder: str | None, id: str) -> None:
