@@ -111,9 +111,12 @@ from tokens join vocab using (id) group by doc order by doc
 
 
 class DuckBpe:
-    """Encoder and decoder over one rank file; ``ranks`` is its path."""
+    """Encoder and decoder over one rank file; ``ranks`` is its path.
 
-    def __init__(self, ranks: str, pattern: str, cached: int = CACHED):
+    ``share``: of the usual memory for batches of text, queries and stretches of ids. Results do not depend on it.
+    """
+
+    def __init__(self, ranks: str, pattern: str, cached: int = CACHED, share: float = 1):
         import duckdb
         import regex
 
@@ -137,6 +140,8 @@ class DuckBpe:
         for token in tokens:
             self.joined[list(token[:-1]), list(token[1:])] = True
         self.pattern, self.cached = regex.compile(pattern), cached
+        self.chars, self.rows = int(BATCH_CHARS * share), int(ROUND_ROWS * share)
+        self.stretch = int(STRETCH * share)
         self.known: dict[str, bytes] = {}
         self.held = 0
 
@@ -153,7 +158,7 @@ class DuckBpe:
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         # a short word of n bytes keeps at most n + (n - 1) + ... + 1 rows, a long one its n
         kept = lengths * (lengths + 1) // 2 if query is _SHORT_WORDS else 8 * lengths
-        group = np.cumsum(kept) // ROUND_ROWS
+        group = np.cumsum(kept) // self.rows
         edges = [0, *(np.nonzero(np.diff(group))[0] + 1).tolist(), len(words)]
         out: list[bytes] = []
         for lo, hi in zip(edges, edges[1:], strict=False):
@@ -229,20 +234,20 @@ class DuckBpe:
             for part in self.pieces(text):
                 held.append((i, part))
                 size += len(part)
-                if size >= BATCH_CHARS:
+                if size >= self.chars:
                     flush()
                     held, size = [], 0
         flush()
         return out
 
     def decode(self, packed: list[bytes]) -> list[bytes]:
-        """The bytes of each text's ids, ``STRETCH`` ids at a time."""
+        """The bytes of each text's ids, a stretch of ids at a time."""
         lengths = np.array([len(p) // 4 for p in packed])
         doc = np.repeat(np.arange(len(packed), dtype=np.int32), lengths)
         ids = np.frombuffer(b"".join(packed), dtype="<i4")
         parts: list[list[bytes]] = [[] for _ in packed]
-        for low in range(0, len(ids), STRETCH):
-            some = slice(low, low + STRETCH)
+        for low in range(0, len(ids), self.stretch):
+            some = slice(low, low + self.stretch)
             rows = {"doc": doc[some], "id": ids[some]}
             self.con.register("tokens", pa.table(rows | {"pos": np.arange(len(rows["id"]))}))
             found = self.con.sql(_DECODE).to_arrow_table()
@@ -254,13 +259,16 @@ class DuckBpe:
 _WORKER: dict[tuple, DuckBpe] = {}
 
 
-def _encoder(ranks: str | None, pattern: str | None) -> DuckBpe:
-    key = (ranks, pattern)
+def _encoder(ranks: str | None, pattern: str | None, share: float) -> DuckBpe:
+    key = (ranks, pattern, share)
     if key not in _WORKER:
         import public_tokenizers
 
         _WORKER[key] = DuckBpe(
-            ranks or public_tokenizers.path(VOCABULARY), pattern or public_tokenizers.PATTERN
+            ranks or public_tokenizers.path(VOCABULARY),
+            pattern or public_tokenizers.PATTERN,
+            int(CACHED * share),
+            share,
         )
     return _WORKER[key]
 
@@ -277,7 +285,9 @@ def groups(texts: list[str], chars: int = 2_000_000) -> Iterator[slice]:
         yield slice(low, len(texts))
 
 
-def encode_decode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+def encode_decode(
+    docs: DataFrame, ranks: str | None = None, pattern: str | None = None, share: float = 1
+) -> DataFrame:
     """(doc_id, ids array<int>, decoded binary) of each row's whole text.
 
     ``ids`` is the ordinary encoding without special tokens, ``decoded`` what the ids decode to. ``ranks``
@@ -285,13 +295,16 @@ def encode_decode(docs: DataFrame, ranks: str | None = None, pattern: str | None
     empty text and has no ids; ids may be null or repeated, rows are encoded one by one; other columns
     are not looked at. Time grows with the square of a single piece's length, as one pair is contracted
     in each round; memory does not.
+
+    ``share`` is the part of the usual memory that a worker may take for texts, queries and known pieces: less where
+    the JVM beside it has grown in stages before. It costs some time and changes no result.
     """
 
     def run(batches):
-        bpe = _encoder(ranks, pattern)
+        bpe = _encoder(ranks, pattern, share)
         for batch in batches:
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for part in groups(texts, BATCH_CHARS):
+            for part in groups(texts, bpe.chars):
                 packed = bpe.encode(texts[part])
                 offsets = [0]
                 for p in packed:
