@@ -34,7 +34,7 @@ from unitflow.session import discard, materialise
 
 LENGTH = 50
 ANCHOR = 20
-BATCHES = 2
+BATCHES = 4  # with two runs a level, the least number with which levels merge and lie beside each other
 FANOUT = 2
 SLICES = 2
 PIECE = 1 << 20  # bytes hashed at a time
