@@ -101,7 +101,7 @@ def test_a_scan_of_few_splits_a_core_is_spread(spark, tmp_path):
     from unitflow.session import spread
 
     path = str(tmp_path / "one")
-    spark.range(50_000).selectExpr("id", "sha2(id, 256) as t").coalesce(1).write.parquet(path)
+    spark.range(50_000).selectExpr("id", "sha2(string(id), 256) as t").coalesce(1).write.parquet(path)
     key = "spark.sql.files.maxPartitionBytes"
     before = spark.conf.get(key)
     size = sum(p.stat().st_size for p in (tmp_path / "one").glob("*.parquet"))
