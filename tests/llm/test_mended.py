@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from unitflow.llm import mixing, suffix_dedup, token_files
+from unitflow.llm import mixing, runs, suffix_dedup, token_files
 
 
 def rated_totals(members, history, k):
@@ -76,3 +76,51 @@ def test_runs_of_neighbouring_places():
     place = lambda start, n: start * suffix_dedup.MAX_SEGMENT + n - 1
     low, high = suffix_dedup._runs([place(70, 5), place(0, 64), place(64, 3), place(1, 2), place(75, 1)])
     assert (low.tolist(), high.tolist()) == ([0, 70], [67, 76])
+
+
+def test_levels_merge_in_the_scan_that_reads_them(spark, monkeypatch):
+    """r03: a merge of its own shuffled, sorted and wrote both runs once more."""
+
+    def written(*_):
+        raise AssertionError("a run is written apart from its scan")
+
+    lent, lend = [], runs.LevelledRuns.lend
+
+    def noted(self, table, level=0, merged=()):
+        lend(self, table, level, merged)
+        lent.append((level, len(merged), len(self.runs), self.tables()[-1].count()))
+
+    monkeypatch.setattr(runs.LevelledRuns, "_write", written)
+    monkeypatch.setattr(runs.LevelledRuns, "lend", noted)
+    texts = [f"{i} " * 60 + "what all of them have, at a length that is well over fifty bytes" for i in range(100, 108)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffix_dedup.remove_repeats(df, batches=8, slices=1).orderBy("doc_id").collect()
+    assert [x[:3] for x in lent] == [(0, 0, 1), (1, 1, 1), (0, 0, 2), (2, 2, 1), (0, 0, 2), (1, 1, 2), (0, 0, 3)]
+    assert lent[3][3] > lent[1][3] > lent[0][3] and lent[2][3] < lent[1][3]
+    assert bytes(got[0].kept).decode() == texts[0]
+    # the numbers differ, the space after the last does not
+    assert all(bytes(r.kept).decode() == texts[r.doc_id][:239] for r in got[1:])
+
+
+def test_strings_travel_by_segment(spark):
+    """r03: one row for each string, not one for each segment, went through the shuffle."""
+    text = "".join(map(chr, range(33, 113)))  # 80 bytes without a repeat: 31 strings
+    place = lambda start, n: {"anchor": 5, "place": start * suffix_dedup.MAX_SEGMENT + n - 1}
+    rows = [
+        (1, 0, text + "-" + text, [place(0, 31), place(81, 31), place(31, 50)]),
+        (2, 0, "x" + text, [place(1, 31)]),
+        (3, 0, "", []),
+    ]
+    df = spark.createDataFrame(
+        rows, "doc long, version long, text string, parts array<struct<anchor: long, place: long>>"
+    ).coalesce(1)
+    got = suffix_dedup.strings(df).collect()
+    assert sorted((r.doc, sorted(r.starts), len(r.strings)) for r in got) == [
+        (1, [0, 81], 31),
+        (1, [31], 50),
+        (2, [1], 31),
+    ]
+    whole = [r.strings for r in got if len(r.strings) == 31]
+    assert whole[0] == whole[1] and len(set(whole[0])) == 31 and {r.anchor for r in got} == {5}
+    apart = suffix_dedup.strings(df, step=1).collect()
+    assert len(apart) == 4 and {tuple(r.strings) for r in apart} == {tuple(r.strings) for r in got}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,11 +43,30 @@ class LevelledRuns:
         rows.sortWithinPartitions(*self.key).write.parquet(path)
         self.runs.append((level, path))
 
-    def lend(self, table: DataFrame) -> None:
-        """Take the live rows of a written table of new keys as a run of level 0; the table stays its owner's."""
+    def named(self) -> list[tuple[str, DataFrame]]:
+        return [(path, self._read(path)) for _, path in self.runs]
+
+    def due(self) -> tuple[list[str], int]:
+        """The runs that become one with the next run of level 0, as levels get full, and the level of that."""
+        paths, level = [], 0
+        while True:
+            full = [path for at, path in self.runs if at == level]
+            if len(full) + 1 < max(self.fanout, 2):
+                return paths, level
+            paths += full
+            level += 1
+
+    def lend(self, table: DataFrame, level: int = 0, merged: Iterable[str] = ()) -> None:
+        """Take the live rows of a written table as a run; the table stays its owner's.
+
+        They are new keys and all rows of the runs ``merged``, which are no runs any more.
+        """
         self.schema = table.schema
         self.lent.add(table.written_to)
-        self.runs.append((0, table.written_to))
+        self.runs = [run for run in self.runs if run[1] not in merged]
+        self.runs.append((level, table.written_to))
+        for path in merged:
+            self._remove(path)
 
     def add(self, rows: DataFrame) -> DataFrame:
         """Write the rows whose key no run holds as a run of their own; gives that run."""

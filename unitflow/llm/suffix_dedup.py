@@ -7,9 +7,11 @@ sampled at each segment, about one in sixteen bytes. Equal strings have equal an
 
 1. Each batch of documents, in ascending ``doc_id``, becomes an array of (anchor, segment hash,
    doc, place), sorted by the first three. It is merge-scanned with the levels: a segment that an
-   earlier document has whole is removed whole. What is new becomes a level; equal levels merge.
+   earlier document has whole is removed whole. What is new becomes a level; equal levels merge, and
+   the scan that reads them writes what they become.
 2. Segments with a common anchor and different content match in part or not at all. Only there are the
    50-byte strings compared one by one, for each distinct content once, at every place that the first document has it.
+   They travel by segment, with the anchor that is known, and become rows where they are compared.
 
 Anchors are dealt to ``slices`` that are handled one after another, arrays and strings alike, so what is on disk
 at one time is a fraction of all. Anchors and segments are rolling 64-bit hashes from one pass of numpy over the
@@ -25,7 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from unitflow.llm.common import id_of, text_of
@@ -45,7 +47,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(2025).integers(1, 2**63, 256).astype(np.uint64)
 #: place = start * 64 + n - 1: where the segment starts, and how many string starts it has
 _SEGMENT = "anchor long, seg long, doc long, version long, place long"
-_STRING = "anchor long, seg long, doc long, version long, place long, more array<long>"
+_STRING = "anchor long, doc long, version long, starts array<long>, strings array<long>"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -216,7 +218,7 @@ def segments(
     return docs.mapInArrow(run, _SEGMENT)
 
 
-def _places(places: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def _places(places: list[int] | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and counts."""
     at = np.array(places, dtype=np.int64)
     return at // MAX_SEGMENT, at % MAX_SEGMENT + 1
@@ -230,124 +232,118 @@ def _runs(places: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return start[head], end[np.append(head[1:], True)]
 
 
-def _repeats(row: np.ndarray, key: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """The first of each (row, key), in ascending ``offset``, and the places of its repeats, null without any."""
-    order = np.lexsort((key, row))
-    r, k, o = row[order], key[order], offset[order]
-    head = np.ones(len(order), dtype=bool)
-    head[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
-    heads, copy = np.nonzero(head)[0], ~head
-    group, o = (np.cumsum(head) - 1)[copy], o[copy]
-    fresh = np.ones(len(o), dtype=bool)
-    fresh[1:] = (group[1:] != group[:-1]) | (o[1:] != o[:-1] + 1)
-    # neighbouring repeats are one place, as far as a place goes
-    nth = np.arange(len(o)) - np.nonzero(fresh)[0][np.cumsum(fresh) - 1]
-    first = np.nonzero(nth % MAX_SEGMENT == 0)[0]
-    n = np.diff(np.append(first, len(o)))
-    ends = np.cumsum(np.bincount(group[first], minlength=len(heads)))
-    mask = np.diff(ends, prepend=0) == 0
-    lists = pa.ListArray.from_arrays(
-        pa.array(np.append(0, ends), pa.int32()),
-        pa.array(o[first] * MAX_SEGMENT + n - 1, pa.int64()),
-        mask=pa.array(mask),
-    )
-    return order[heads], lists
+def _lists(lengths: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(values, pa.int64()))
 
 
-def strings(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """(anchor, hash, doc, version, place, more) of the strings that start in ``parts``, each text's places.
+def strings(docs: DataFrame, length: int = LENGTH, step: int = PIECE // (MAX_SEGMENT + LENGTH)) -> DataFrame:
+    """(anchor, doc, version, starts, strings): hashes of the strings of the segments ``parts``, (anchor, place).
 
-    A text's equal strings are one row for each group of pieces, the others' places in ``more``: a string that a
+    A text's equal segments are one row for each ``step`` places, with all their ``starts``: a segment that a
     document repeats very often is no group of its places.
     """
 
     def run(batches):
         hasher = _Hasher()
         for batch in batches:
-            texts, parts = _raw(batch.column("text")), batch.column("parts").to_pylist()
+            texts, parts = _raw(batch.column("text")), batch.column("parts")
+            rows = np.repeat(np.arange(len(texts)), parts.value_lengths().to_numpy())
+            anchors, places = (parts.flatten().field(name).to_numpy() for name in ("anchor", "place"))
             docs_, versions = batch.column("doc").to_numpy(), batch.column("version").to_numpy()
-            runs = [_runs(own) for own in parts]
-            row_of = np.repeat(np.arange(len(texts)), [len(low) for low, _ in runs])
-            base = np.concatenate([np.zeros(0, dtype=np.int64), *(low for low, _ in runs)])
-            cut = [
-                text[a : b + length - 1]
-                for text, (low, high) in zip(texts, runs, strict=True)
-                for a, b in zip(low.tolist(), high.tolist(), strict=True)
-            ]
-            for anchors, starts, low, run_of, offsets in _hashed(cut, length, hasher, anchor):
-                at = np.nonzero(starts)[0]
-                part = np.searchsorted(low, at, "right") - 1
-                run = run_of[part]
-                row, offset = row_of[run], at - low[part] + offsets[part] + base[run]
-                if len(at):
-                    seg = hasher.some(at, at + length)
-                    head, more = _repeats(row, seg, offset)
-                    yield from _emit(
-                        {
-                            "anchor": anchors[at[head]].view(np.int64),
-                            "seg": seg[head].view(np.int64),
-                            "doc": docs_[row[head]],
-                            "version": versions[row[head]],
-                            "place": offset[head] * MAX_SEGMENT,
-                            "more": more,
-                        }
-                    )
+            for low in range(0, len(rows), step):
+                row, (start, n) = rows[low : low + step], _places(places[low : low + step])
+                size = n + length - 1
+                cut = [texts[r][a : a + k] for r, a, k in zip(row.tolist(), start.tolist(), size.tolist(), strict=True)]
+                hasher.load(np.frombuffer(b"".join(cut), dtype=np.uint8))
+                base = np.cumsum(size) - size
+                content = hasher.some(base, base + size)
+                order = np.lexsort((content, row))
+                r, c = row[order], content[order]
+                first = np.nonzero(np.append(True, (c[1:] != c[:-1]) | (r[1:] != r[:-1])))[0]
+                head = order[first]
+                n = n[head]
+                at = np.repeat(base[head] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                yield from _emit(
+                    {
+                        "anchor": anchors[low + head],
+                        "doc": docs_[row[head]],
+                        "version": versions[row[head]],
+                        "starts": _lists(np.diff(np.append(first, len(order))), start[order]),
+                        "strings": _lists(n, hasher.some(at, at + length).view(np.int64)),
+                    },
+                    step=20_000,
+                )
 
     return docs.mapInArrow(run, _STRING)
 
 
+#: how tables of hashes are written: they hardly repeat and hardly shrink, so a dictionary and hard work are lost
+HASHES = {"parquet.enable.dictionary": "false", "parquet.compression.codec.zstd.level": "1"}
 _KEY = ["anchor", "seg"]
 _PLACE = ["doc", "version", "place"]
-GONE, DOUBT, NEW = 1, 2, 4  # bits of a row's kind
+GONE, DOUBT, LIVE = 1, 2, 4  # bits of a row's kind
+BATCH, LEVEL, MERGED = 0, 1, 2  # where a row is from; runs that are merged are levels too
 
 
 def _add_batch(levels: LevelledRuns, array: DataFrame, last: bool) -> DataFrame:
-    """Merge-scan a batch's array with the levels and add what is new as a level.
+    """Merge-scan a batch's array with the levels and add what is new as a level, with the levels it merges with.
 
-    Gives a table of places by kind: what is ``GONE``, and in ``DOUBT`` the segments of the batch or of a level
-    whose anchor has other content as well. After the ``last`` batch nothing is added.
+    Gives a table of places by kind: what is ``GONE``, in ``DOUBT`` the segments of the batch or of a level
+    whose anchor has other content as well, and ``LIVE`` the rows of the level. After the ``last`` batch nothing is added.
     """
-    levels.compact()
-    rows = array.withColumn("old", F.lit(False))
-    for level in levels.tables():
-        rows = rows.unionByName(level.drop("kind").withColumn("old", F.lit(True)))
+    merged, level = ([], 0) if last else levels.due()
+    rows = array.withColumn("from", F.lit(BATCH))
+    for path, run in levels.named():
+        rows = rows.unionByName(run.drop("kind").withColumn("from", F.lit(MERGED if path in merged else LEVEL)))
     rows = rows.repartition("anchor").sortWithinPartitions("anchor", "seg", "doc")
     anchor, segment = Window.partitionBy("anchor"), Window.partitionBy(*_KEY).orderBy("doc")
     differs = lambda name: F.min(name).over(anchor) < F.max(name).over(anchor)
     scanned = rows.withColumn(
-        "mixed", differs("seg") & differs("doc") & ~F.min("old").over(anchor)
-    ).withColumns({"nth": F.row_number().over(segment), "first": F.first("doc").over(segment)})
+        "mixed", differs("seg") & differs("doc") & (F.min("from").over(anchor) == BATCH)
+    ).withColumns(
+        {
+            "nth": F.row_number().over(segment),
+            "first": F.first("doc").over(segment.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+        }
+    )
     settled = F.col("seg").isNull()
     own = (F.col("first") == F.col("doc")) & ~settled  # every place in the first document, in all its texts
     head = own & (F.col("nth") == 1)
-    fresh = ~F.col("old")
+    fresh = F.col("from") == BATCH
     bit = lambda found, kind: F.when(found, kind).otherwise(0)
     kind = bit(fresh & (settled | (F.col("first") < F.col("doc"))), GONE) + bit(own & F.col("mixed"), DOUBT)
     if not last:
-        kind = kind + bit(head & fresh, NEW)
-    done = materialise(scanned.select(*_KEY, *_PLACE, kind.alias("kind")).where("kind > 0"), "suffix-run")
+        kind = kind + bit((head & fresh) | (F.col("from") == MERGED), LIVE)
+    found = scanned.select(*_KEY, *_PLACE, kind.alias("kind")).where("kind > 0")
+    done = materialise(found, "suffix-run", options=HASHES)
     if not last:
-        levels.lend(done)
+        levels.lend(done, level, merged)
     return done
 
 
-def _of(kind: int, tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.union, (t.where(F.col("kind").bitwiseAND(kind) > 0).select(*_PLACE) for t in tables))
+def _of(kind: int, tables: list[DataFrame], *columns: str) -> DataFrame:
+    return reduce(DataFrame.union, (t.where(F.col("kind").bitwiseAND(kind) > 0).select(*columns) for t in tables))
 
 
-def _grouped(places: DataFrame) -> DataFrame:
+def _grouped(places: DataFrame, part: Column) -> DataFrame:
     """The places of each text; never more than the text has."""
-    return places.groupBy("doc", "version").agg(F.collect_set("place").alias("parts"))
+    return places.groupBy("doc", "version").agg(F.collect_set(part).alias("parts"))
 
 
 def _compared(docs: DataFrame, doubt: DataFrame, length: int) -> DataFrame:
     """Places of the strings in ``doubt`` that a smaller document has."""
     # each distinct content once, so a string that very many documents share is not a group of theirs
-    one_by_one = strings(docs.join(_grouped(doubt), ["doc", "version"]), length)
-    same = Window.partitionBy(*_KEY).orderBy("doc")
-    again = one_by_one.withColumn("first", F.first("doc").over(same)).where("first < doc")
-    every = F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<long>")))
-    return again.select("doc", "version", F.explode(every).alias("place"))
+    parts = _grouped(doubt, F.struct("anchor", "place"))
+    by_segment = strings(docs.join(parts, ["doc", "version"]), length).repartition("anchor")
+    one_by_one = by_segment.select(
+        "anchor", "doc", "version", "starts", F.posexplode("strings").alias("nth", "seg")
+    )
+    # sorted by the string first: very many strings have one anchor, and a sort compares its first column at once
+    same = Window.partitionBy("seg", "anchor")
+    again = one_by_one.withColumn("first", F.min("doc").over(same)).where("first < doc")
+    return again.select("doc", "version", "nth", F.explode("starts").alias("start")).select(
+        "doc", "version", ((F.col("start") + F.col("nth")) * MAX_SEGMENT).alias("place")
+    )
 
 
 def repeated_strings(
@@ -364,16 +360,16 @@ def repeated_strings(
     """
     places = []
     for k in range(slices):
-        levels = LevelledRuns(docs.sparkSession, _KEY, fanout, f"kind & {NEW} > 0")
+        levels = LevelledRuns(docs.sparkSession, _KEY, fanout, f"kind & {LIVE} > 0")
         parts, own = list(ascending(docs, batches, F.col("doc"))), []
         for i, batch in enumerate(parts):
             array = segments(batch, length, k, slices)
             own.append(_add_batch(levels, array, last=i == len(parts) - 1))
         levels.drop()
-        again = _compared(docs, _of(DOUBT, own), length)
-        places.append(materialise(again.union(_of(GONE, own)), "places"))
+        again = _compared(docs, _of(DOUBT, own, "anchor", *_PLACE), length)
+        places.append(materialise(again.union(_of(GONE, own, *_PLACE)), "places"))
         discard(*own)
-    found = materialise(_grouped(reduce(DataFrame.union, places)), "repeats")
+    found = materialise(_grouped(reduce(DataFrame.union, places), F.col("place")), "repeats")
     discard(*places)
     return found
 
@@ -383,9 +379,9 @@ def _removed(length: int):
         for text, own in zip(texts, parts, strict=True):
             mark = np.zeros(len(text) + 1, dtype=np.int32)
             if own:
-                start, n = _places(own)
-                np.add.at(mark, start, 1)
-                np.add.at(mark, start + n + length - 1, -1)
+                start, end = _runs(own)  # no two of them begin or end together
+                mark[start] += 1
+                mark[end + length - 1] -= 1
             gone = np.cumsum(mark[:-1]) > 0
             spans = int((gone & ~np.concatenate(([False], gone[:-1]))).sum())
             kept = np.frombuffer(text, dtype=np.uint8)[~gone].tobytes()
