@@ -102,8 +102,8 @@ def test_levels_merge_in_the_scan_that_reads_them(spark, monkeypatch):
     assert all(bytes(r.kept).decode() == texts[r.doc_id][:239] for r in got[1:])
 
 
-def test_strings_travel_by_segment(spark):
-    """r03: one row for each string, not one for each segment, went through the shuffle."""
+def test_strings_come_by_segment(spark):
+    """r03: Python gave a row for each string, not one for each segment."""
     text = "".join(map(chr, range(33, 113)))  # 80 bytes without a repeat: 31 strings
     place = lambda start, n: {"anchor": 5, "place": start * suffix_dedup.MAX_SEGMENT + n - 1}
     rows = [
@@ -115,7 +115,8 @@ def test_strings_travel_by_segment(spark):
         rows, "doc long, version long, text string, parts array<struct<anchor: long, place: long>>"
     ).coalesce(1)
     got = suffix_dedup.strings(df).collect()
-    assert sorted((r.doc, sorted(r.starts), len(r.strings)) for r in got) == [
+    starts = lambda r: sorted([r.start, *(r.start + away for away in r.more or [])])
+    assert sorted((r.doc, starts(r), len(r.strings)) for r in got) == [
         (1, [0, 81], 31),
         (1, [31], 50),
         (2, [1], 31),
@@ -124,3 +125,12 @@ def test_strings_travel_by_segment(spark):
     assert whole[0] == whole[1] and len(set(whole[0])) == 31 and {r.anchor for r in got} == {5}
     apart = suffix_dedup.strings(df, step=1).collect()
     assert len(apart) == 4 and {tuple(r.strings) for r in apart} == {tuple(r.strings) for r in got}
+
+
+def test_strings_of_one_anchor_are_not_one_task(spark):
+    schema = "doc long, version long, text string, parts array<struct<anchor: long, place: long>>"
+    df = spark.createDataFrame([(0, 0, "", [])], schema)
+    docs, doubt = df.select("doc", "version", "text"), df.selectExpr("doc", "version", "0L anchor", "0L place")
+    plan = suffix_dedup._compared(docs, doubt, 50)._jdf.queryExecution().executedPlan().toString()
+    last = next(line for line in plan.splitlines() if "Exchange hashpartitioning" in line)
+    assert "seg" in last and "anchor" in last

@@ -11,7 +11,7 @@ sampled at each segment, about one in sixteen bytes. Equal strings have equal an
    the scan that reads them writes what they become.
 2. Segments with a common anchor and different content match in part or not at all. Only there are the
    50-byte strings compared one by one, for each distinct content once, at every place that the first document has it.
-   They travel by segment, with the anchor that is known, and become rows where they are compared.
+   They are dealt by string, not by anchor, so that one very common anchor is no group of its strings.
 
 Anchors are dealt to ``slices`` that are handled one after another, arrays and strings alike, so what is on disk
 at one time is a fraction of all. Anchors and segments are rolling 64-bit hashes from one pass of numpy over the
@@ -47,7 +47,7 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(2025).integers(1, 2**63, 256).astype(np.uint64)
 #: place = start * 64 + n - 1: where the segment starts, and how many string starts it has
 _SEGMENT = "anchor long, seg long, doc long, version long, place long"
-_STRING = "anchor long, doc long, version long, starts array<long>, strings array<long>"
+_STRING = "anchor long, doc long, version long, start long, more array<long>, strings array<long>"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -233,14 +233,16 @@ def _runs(places: list[int]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _lists(lengths: np.ndarray, values: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)), pa.int32()), pa.array(values, pa.int64()))
+    """Lists of these lengths, null where there is nothing."""
+    ends = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
+    return pa.ListArray.from_arrays(ends, pa.array(values, pa.int64()), mask=pa.array(lengths == 0))
 
 
 def strings(docs: DataFrame, length: int = LENGTH, step: int = PIECE // (MAX_SEGMENT + LENGTH)) -> DataFrame:
-    """(anchor, doc, version, starts, strings): hashes of the strings of the segments ``parts``, (anchor, place).
+    """(anchor, doc, version, start, more, strings): hashes of the strings of the segments ``parts``, (anchor, place).
 
-    A text's equal segments are one row for each ``step`` places, with all their ``starts``: a segment that a
-    document repeats very often is no group of its places.
+    A text's equal segments are one row for each ``step`` places, the others' distances from ``start`` in ``more``:
+    a segment that a document repeats very often is no group of its places.
     """
 
     def run(batches):
@@ -260,7 +262,8 @@ def strings(docs: DataFrame, length: int = LENGTH, step: int = PIECE // (MAX_SEG
                 order = np.lexsort((content, row))
                 r, c = row[order], content[order]
                 first = np.nonzero(np.append(True, (c[1:] != c[:-1]) | (r[1:] != r[:-1])))[0]
-                head = order[first]
+                head, copies = order[first], np.diff(np.append(first, len(order)))
+                more = start[order] - np.repeat(start[head], copies)
                 n = n[head]
                 at = np.repeat(base[head] - np.cumsum(n) + n, n) + np.arange(n.sum())
                 yield from _emit(
@@ -268,7 +271,8 @@ def strings(docs: DataFrame, length: int = LENGTH, step: int = PIECE // (MAX_SEG
                         "anchor": anchors[low + head],
                         "doc": docs_[row[head]],
                         "version": versions[row[head]],
-                        "starts": _lists(np.diff(np.append(first, len(order))), start[order]),
+                        "start": start[head],
+                        "more": _lists(copies - 1, np.delete(more, first)),
                         "strings": _lists(n, hasher.some(at, at + length).view(np.int64)),
                     },
                     step=20_000,
@@ -334,16 +338,20 @@ def _compared(docs: DataFrame, doubt: DataFrame, length: int) -> DataFrame:
     """Places of the strings in ``doubt`` that a smaller document has."""
     # each distinct content once, so a string that very many documents share is not a group of theirs
     parts = _grouped(doubt, F.struct("anchor", "place"))
-    by_segment = strings(docs.join(parts, ["doc", "version"]), length).repartition("anchor")
-    one_by_one = by_segment.select(
-        "anchor", "doc", "version", "starts", F.posexplode("strings").alias("nth", "seg")
+    one_by_one = strings(docs.join(parts, ["doc", "version"]), length).select(
+        "anchor", "doc", "version", "start", "more", F.posexplode("strings").alias("nth", "seg")
     )
+    place = ((F.col("start") + F.col("nth")) * MAX_SEGMENT).alias("place")
     # sorted by the string first: very many strings have one anchor, and a sort compares its first column at once
     same = Window.partitionBy("seg", "anchor")
-    again = one_by_one.withColumn("first", F.min("doc").over(same)).where("first < doc")
-    return again.select("doc", "version", "nth", F.explode("starts").alias("start")).select(
-        "doc", "version", ((F.col("start") + F.col("nth")) * MAX_SEGMENT).alias("place")
+    again = (
+        one_by_one.select(*_KEY, "doc", "version", place, "more")
+        .withColumn("first", F.min("doc").over(same))
+        .where("first < doc")
     )
+    others = F.transform("more", lambda away: F.col("place") + away * MAX_SEGMENT)
+    every = F.concat(F.array("place"), F.coalesce(others, F.array().cast("array<long>")))
+    return again.select("doc", "version", F.explode(every).alias("place"))
 
 
 def repeated_strings(
