@@ -12,28 +12,28 @@ never read. The manifest has a row for each file, and the documents' starts are
 
 from __future__ import annotations
 
-import os
 import re
 import struct
 import uuid
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from unitflow.llm.bpe import groups
 from unitflow.llm.common import id_of, text_of
+from unitflow.llm.words import WordIds, pack_texts, text_groups
 from unitflow.session import fresh_path, materialise
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 2
 FILE_BYTES = 64 << 20  # of ids before compression
 LEVEL = 3
-CACHED = 600_000  # strings remembered, each of at most CACHED_CHARS
-CACHED_CHARS = 64
+CACHED = 600_000  # words and pieces remembered
 READ_BYTES = 4 << 20
 
 #: Fixed values of the seekable format.
@@ -42,89 +42,34 @@ DOCUMENTS = 0x184D2A50
 SEEKABLE = 0x8F92EAB1
 
 _MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long, first_id long, last_id long"
-#: White space at which a text is not cut before it is handed to the tokenizer.
-_ODD_SPACE = (
-    "[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-)
-_UNIT = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 
 
-class _Coded(dict):
-    """What ``code`` gives for each string, remembered for short ones; ``bound`` forgets, which changes no result."""
-
-    def __init__(self, code: Callable[[str], bytes]):
-        self.code = code
-
-    def __missing__(self, key: str) -> bytes:
-        out = self.code(key)
-        if len(key) <= CACHED_CHARS:
-            self[key] = out
-        return out
-
-    def bound(self) -> None:
-        if len(self) > CACHED:
-            self.clear()
-
-
-class Tokens:
+class Tokens(WordIds):
     """Packs texts as 32-bit ids with the tokenizers library.
 
-    The tokenizer's own pattern never joins what comes before a space or line end to what follows, so a text
-    is cut there; a part that is new is cut by the pattern, and a piece that is new is encoded by the
-    library's model. Texts with other white space or with a special token's string go to the library whole.
+    A text is cut into words; a word that is new is cut by the tokenizer's pattern, and a piece that is new is
+    encoded by the library's model. Texts with a special token's string go to the library whole.
     """
 
     def __init__(self, path: str | None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-        self.model = self.tokenizer.model
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.letters = _byte_letters(ByteLevel.alphabet())
+
+        super().__init__(path or public_tokenizers.path(VOCABULARY))
         special = self.tokenizer.get_added_tokens_decoder().values()
-        marks = "|".join(re.escape(t.content) for t in special)
-        self.whole = re.compile(_ODD_SPACE + (f"|{marks}" if marks else ""))
-        self.pieces = _Coded(self._encode_piece)
-        self.parts = _Coded(self._encode_part)
-        self.led = _Coded(self._encode_led)
-
-    def _encode_piece(self, piece: str) -> bytes:
-        letters = piece.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-
-    def _encode_part(self, part: str) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, self.pattern.findall(part)))
-
-    def _encode_led(self, word: str) -> bytes:
-        # the pattern takes a space and the letters behind it as one piece
-        plain = word.isascii() and word.isalpha()
-        return self.pieces[f" {word}"] if plain else self._encode_part(f" {word}")
-
-    def _encode(self, text: str) -> bytes:
-        if self.whole.search(text):
-            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        bounds = text[:1] == " " or text[-1:] == " "
-        if bounds or "  " in text or "\n " in text or " \n" in text:
-            return b"".join(map(self.parts.__getitem__, _UNIT.findall(text)))
-        # single spaces between other characters: each is the first of the part behind it
-        first, *rest = text.split(" ")
-        return self._encode_part(first) + b"".join(map(self.led.__getitem__, rest))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        for coded in (self.pieces, self.parts, self.led):
-            coded.bound()
-        return [self._encode(text) for text in texts]
-
-
-def _byte_letters(alphabet: list[str]) -> dict[int, str]:
-    """The letter that stands for each byte: itself where it is printable, the rest in order of code point."""
-    plain = {ord(c) for c in alphabet if ord(c) < 256}
-    rest = iter(sorted(c for c in alphabet if ord(c) >= 256))
-    return {b: chr(b) if b in plain else next(rest) for b in range(256)}
+        self.marks = "|".join(re.escape(t.content) for t in special)
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        whole = np.zeros(0, dtype=np.int64)
+        if self.marks:
+            marked = pc.match_substring_regex(texts, self.marks)
+            whole = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+        plain = pc.if_else(marked, "", texts) if len(whole) else texts
+        out = pack_texts(plain, lambda words: self.pack(words, CACHED))
+        for i in whole.tolist():
+            ids = self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids
+            out[i] = array("I", ids).tobytes()
+        return out
 
 
 _WORKER: dict[str | None, Tokens] = {}
@@ -201,9 +146,9 @@ def write_tokens(
         tokens = _tokens(tokenizer)
         done = []
         for batch in batches:
-            ids, texts = batch.column("id").to_pylist(), batch.column("text").to_pylist()
-            for piece in groups(texts):
-                packed = tokens.encode(texts[piece])
+            ids = batch.column("id").to_pylist()
+            for piece, texts in text_groups(batch.column("text")):
+                packed = tokens.encode(texts)
                 for doc, raw in zip(ids[piece], packed, strict=True):
                     if out is None:
                         out = _File(f"{folder}/{part:06d}-{seq:06d}-{uuid.uuid4().hex}.zst")
