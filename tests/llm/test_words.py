@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from unitflow.llm import token_files, words
+from unitflow.llm import lexicon_bpe, token_files, words
 
 WHITE = words.SPACE + "\x1c\x1f" + chr(0x200B)
 
@@ -76,3 +76,26 @@ def test_what_is_known_is_bounded():
         coder.pack(pa.array([f" word{i}" for i in range(low, low + 5)] + [f"ж{low}", " " + "x" * 80]), 10)
         assert len(coder.pieces) <= 25 and len(coder.merged) <= 12
         assert " " + "x" * 80 not in coder.pieces
+
+
+def test_lexicon_codes_arrays_and_only_unseen_words_are_merged_once(library, tmp_path):
+    merger = lexicon_bpe.Merger(None)
+    held = ["the", " the", " of", "\nIn", " été"]
+    (tmp_path / "lexicon.bin").write_bytes(lexicon_bpe.compile_lexicon(held, merger.words))
+    encoder = lexicon_bpe.Encoder(merger, lexicon_bpe.Lexicon(str(tmp_path / "lexicon.bin")))
+    merged = []
+    pack = merger.packed_words
+    merger.packed_words = lambda some: merged.append(some.to_pylist()) or pack(some)
+    texts = ["the of the été\nIn ofx thx", "the ofx ofx of", "", "the<|endoftext|> ofx", *random_texts(300)]
+    got = ids_of(encoder.encode(pa.array(["x", *texts]).slice(1)))
+    assert got == [c.ids for c in library.encode_batch(texts, add_special_tokens=False)]
+    assert all(len(some) == len(set(some)) and not set(some) & set(held) for some in merged)
+    assert sum(" ofx" in some for some in merged) == 1 + 1  # the plain texts together, and the one with a mark
+
+
+def test_long_texts_and_short_ones_are_counted_alike(spark):
+    rows = [("a b\u00a0b " * 200_000,), ("a b " * 10 + "y" * 65 + " z",), ("",), (None,)]
+    docs = spark.createDataFrame(rows, "text string").coalesce(1)
+    counted = {r.word: r.n for r in lexicon_bpe.word_counts(docs).collect()}
+    assert len(rows[0][0]) > lexicon_bpe.LONG
+    assert counted == {"a": 2, " a": 200_008, " b": 200_010, "\u00a0b": 200_000, " z": 1, " ": 1}

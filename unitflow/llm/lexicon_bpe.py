@@ -8,6 +8,7 @@
    machine map the same pages. A batch's distinct words walk it together, one byte a step.
 4. Words that it does not hold are cut into pieces and merged by the library's own model, so every id is
    the library's whatever the lexicon holds.
+5. Words are cut and counted, and ids dealt to their places, by Arrow; see ``words``.
 
 The driver holds the frequent words, at most SHARE x MAX_WORD code points.
 """
@@ -19,41 +20,43 @@ import os
 import re
 import struct
 import uuid
-from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from unitflow.llm.bpe import groups
 from unitflow.llm.common import text_of
+from unitflow.llm.words import (
+    MAX_WORD,
+    SPACE,
+    WordIds,
+    byte_letters,
+    cut,
+    elements,
+    pack_texts,
+    packed_array,
+    packed_parts,
+    text_groups,
+)
 from unitflow.session import discard, fresh_path, materialise
 
 VOCABULARY = "byte_bpe_50k.json"
 SHARE = 100_000
-MAX_WORD = 64  # code points; longer words are not in the lexicon
-COUNTED = 200_000  # distinct words a task counts before it hands them on
+COUNTED = 200_000  # distinct words of long texts that a task counts before it hands them on
+COUNTED_BYTES = 32 << 20  # of other texts, counted together
 LONG = 1 << 20  # code points from which a text is taken word by word
 WORDS_AT_ONCE = 200_000
 IDS_AT_ONCE = 1 << 18
 REMEMBERED = 500_000  # merged words and pieces that a worker keeps, each of at most MAX_WORD code points
 
-#: The white space of the tokenizer's pattern.
-_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: No piece of the pattern goes on from other characters into white space, so words are encoded one by one.
-_WORD = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
-
-#: Words of Latin letters, digits and old punctuation.
-_SETTLED = re.compile("[\0-\u024f]*")
-
-
-def words_in(text: str) -> list[str]:
-    return _WORD.findall(text)
+_WORD = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 
 # --- the transducer -----------------------------------------------------------------------------
@@ -164,14 +167,23 @@ class Lexicon:
         self.base, self.final, self.check = (tables[n] for n in ("base", "final", "check"))
         self.target, self.add, self.ids_at = (tables[n] for n in ("target", "add", "ids_at"))
         self.ids, self.start = tables["ids"], len(tables["base"]) - 1
+        #: the packed ids of each place, on the mapped pages
+        self.packed = packed_array(4 * self.ids_at.astype(np.int64), self.ids)
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Each word's place in the lexicon, -1 where it is not in it; all words walk together."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         text = np.frombuffer(b"".join(words), dtype=np.uint8)
-        at = np.cumsum(lengths) - lengths
-        state = np.full(len(words), self.start, dtype=np.int64)
-        place = np.zeros(len(words), dtype=np.int64)
+        return self._walk(text, np.cumsum(lengths) - lengths, lengths)
+
+    def places_of(self, words: pa.Array) -> np.ndarray:
+        """``places`` for an array of strings."""
+        edges, text = packed_parts(words.cast(pa.large_string()))
+        return self._walk(np.frombuffer(text, dtype=np.uint8), edges[:-1], np.diff(edges))
+
+    def _walk(self, text: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        state = np.full(len(at), self.start, dtype=np.int64)
+        place = np.zeros(len(at), dtype=np.int64)
         live, step = np.flatnonzero(lengths > 0), 0
         while len(live):
             slot = self.base[state[live]] + text[at[live] + step]
@@ -201,14 +213,11 @@ class Lexicon:
 # --- words that the lexicon does not hold ---------------------------------------------------------
 
 
-class Merger:
+class Merger(WordIds):
     """Exact ids of any words, and the bytes of any id, from a tokenizer file."""
 
     def __init__(self, path: str | None):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
-        import regex
-        from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         path = path or public_tokenizers.path(VOCABULARY)
@@ -217,62 +226,39 @@ class Merger:
         plain = ("single_word", "lstrip", "rstrip", "normalized")
         if told["normalizer"] or any(t[f] for t in told["added_tokens"] for f in plain):
             raise ValueError(f"{path}: only byte-level tokenizers with plain added tokens")
-        self.tokenizer = Tokenizer.from_file(path)
+        super().__init__(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model, self.pattern = self.tokenizer.model, regex.compile(public_tokenizers.PATTERN)
-        letters = ByteLevel.alphabet()
-        printable = {c: ord(c) for c in letters if ord(c) < 256}
-        others = [b for b in range(256) if chr(b) not in printable]
-        byte = printable | dict(zip(sorted(c for c in letters if ord(c) > 255), others, strict=True))
-        self.letters = {b: c for c, b in byte.items()}
+        byte = {c: b for b, c in byte_letters(ByteLevel.alphabet()).items()}
         marks = {t["content"]: t["id"] for t in told["added_tokens"]}
         known = told["model"]["vocab"] | marks
-        self.token_bytes = [b""] * (max(known.values()) + 1)
+        token_bytes = [b""] * (max(known.values()) + 1)
         for token, i in known.items():
             inside = all(c in byte for c in token)
-            self.token_bytes[i] = bytes(byte[c] for c in token) if inside else token.encode()
+            token_bytes[i] = bytes(byte[c] for c in token) if inside else token.encode()
+        self.token_bytes = pa.array(token_bytes, pa.large_binary())
         self.marks = {m: struct.pack("<I", i) for m, i in marks.items()}
-        ways = "|".join(re.escape(m) for m in sorted(marks, key=len, reverse=True))
-        self.mark = re.compile(f"({ways})") if ways else None
-        self.merged: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.ways = "|".join(re.escape(m) for m in sorted(marks, key=len, reverse=True))
+        self.mark = re.compile(f"({self.ways})") if self.ways else None
 
     def segments(self, text: str) -> list[str]:
         """The text cut at added tokens; every second part is one."""
         return self.mark.split(text) if self.mark else [text]
 
-    def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            letters = piece.encode().decode("latin-1").translate(self.letters)
-            ids = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-            if len(piece) <= MAX_WORD:
-                self.pieces[piece] = ids
-        return ids
-
-    def _merge(self, word: str) -> bytes:
-        # what is a letter is agreed on for old scripts only; for the rest the tokenizer has the say
-        if _SETTLED.fullmatch(word):
-            return b"".join(map(self._piece, self.pattern.findall(word)))
-        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-
     def words(self, words: list[str]) -> list[bytes]:
-        """The packed ids of distinct words without added tokens; short ones are remembered."""
-        for held in (self.merged, self.pieces):
-            if len(held) > REMEMBERED:
-                held.clear()
-        out = [self.merged.get(w) or self._merge(w) for w in words]
-        self.merged.update((w, ids) for w, ids in zip(words, out, strict=True) if len(w) <= MAX_WORD)
-        return out
+        """The packed ids of distinct words without added tokens."""
+        return elements(self.packed_words(pa.array(words, pa.string())))
+
+    def packed_words(self, words: pa.Array) -> pa.Array:
+        return self.pack(words, REMEMBERED)
 
     def decode(self, ids: bytes) -> str:
         """What the ids stand for; broken UTF-8 becomes U+FFFD."""
         numbers = np.frombuffer(ids, dtype="<u4")
-        parts = (
-            b"".join(map(self.token_bytes.__getitem__, numbers[low : low + IDS_AT_ONCE].tolist()))
-            for low in range(0, len(numbers), IDS_AT_ONCE)
-        )
+        parts = []
+        for low in range(0, len(numbers), IDS_AT_ONCE):
+            edges, text = packed_parts(self.token_bytes.take(pa.array(numbers[low : low + IDS_AT_ONCE])))
+            parts.append(text[: edges[-1]])
         return b"".join(parts).decode("utf-8", "replace")
 
 
@@ -301,15 +287,24 @@ class Encoder:
         parts = self.merger.segments(text)
         return b"".join(self.merger.marks[p] if i % 2 else self._long(p) for i, p in enumerate(parts))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        mark = self.merger.mark
-        plain = [len(t) <= LONG and not (mark and mark.search(t)) for t in texts]
-        words = [words_in(t) if ok else () for t, ok in zip(texts, plain, strict=True)]
-        ids = self.known(set(chain.from_iterable(words))).__getitem__
-        return [
-            b"".join(map(ids, own)) if ok else self._marked(t)
-            for t, own, ok in zip(texts, words, plain, strict=True)
-        ]
+    def _ids_of(self, words: pa.Array) -> pa.Array:
+        """The ids of an array of distinct words."""
+        places, held = self.lexicon.places_of(words), self.lexicon.packed
+        unseen = np.flatnonzero(places < 0)
+        places[unseen] = len(held) + np.arange(len(unseen))
+        merged = self.merger.packed_words(words.take(pa.array(unseen)))
+        return pa.concat_arrays([held, merged]).take(pa.array(places))
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        other = pc.greater(pc.utf8_length(texts), LONG)
+        if self.merger.ways:
+            other = pc.or_(other, pc.match_substring_regex(texts, self.merger.ways))
+        apart = np.flatnonzero(other.to_numpy(zero_copy_only=False)).tolist()
+        out = pack_texts(pc.if_else(other, "", texts) if apart else texts, self._ids_of)
+        for i in apart:
+            out[i] = self._marked(texts[i].as_py())
+        return out
 
 
 # --- Spark --------------------------------------------------------------------------------------
@@ -323,20 +318,27 @@ def word_counts(docs: DataFrame) -> DataFrame:
             [pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["word", "n"]
         )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_long(text: str) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        found = (m.group() for m in _WORD.finditer(text))
+        while part := list(islice(found, WORDS_AT_ONCE)):
+            counts.update(part)
+            if len(counts) > COUNTED:
+                yield rows(_short(counts))
+                counts = Counter()
+        yield rows(_short(counts))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                found = (m.group() for m in _WORD.finditer(text))
-                while part := list(islice(found, WORDS_AT_ONCE)) if len(text) > LONG else words_in(text):
-                    counts.update(part)
-                    if len(counts) > COUNTED:
-                        yield rows(_short(counts))
-                        counts = Counter()
-                    if len(text) <= LONG:
-                        break
-        if counts:
-            yield rows(_short(counts))
+            for _, texts in text_groups(batch.column("text"), COUNTED_BYTES):
+                long = pc.greater(pc.utf8_length(texts), LONG)
+                apart = np.flatnonzero(long.to_numpy(zero_copy_only=False)).tolist()
+                for i in apart:
+                    yield from of_long(texts[i].as_py())
+                words, _ = cut(pc.if_else(long, "", texts) if apart else texts)
+                word, n = words.value_counts().flatten()
+                short = pc.less_equal(pc.utf8_length(word), MAX_WORD)
+                yield pa.RecordBatch.from_arrays([word.filter(short), n.filter(short)], ["word", "n"])
 
     partial = docs.select(text_of().alias("text")).mapInArrow(run, "word string, n long")
     return partial.groupBy("word").agg(F.sum("n").alias("n"))
@@ -401,9 +403,9 @@ def encode_decode(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer, name)
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for part in groups(texts):
-                packed = encoder.encode(texts[part])
+            ids = batch.column("doc_id")
+            for part, texts in text_groups(batch.column("text")):
+                packed = encoder.encode(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids[part.start : part.stop],

@@ -87,13 +87,13 @@ def pack_texts(texts: pa.Array, ids_of: Callable[[pa.Array], pa.Array]) -> list[
     if not len(words):
         return [b""] * len(texts)
     coded = words.dictionary_encode()
-    edges, flat = _packed(ids_of(coded.dictionary).take(coded.indices))
+    edges, flat = packed_parts(ids_of(coded.dictionary).take(coded.indices))
     ends = edges[first].tolist()
     return [bytes(flat[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
 
 
-def _packed(ids: pa.Array) -> tuple[np.ndarray, memoryview]:
-    """Where each element of a large_binary array begins, with the end of all, and the bytes."""
+def packed_parts(ids: pa.Array) -> tuple[np.ndarray, memoryview]:
+    """Where each element of an array with 64-bit offsets begins, with the end of all, and the bytes."""
     edges = np.frombuffer(ids.buffers()[1], dtype=np.int64)[ids.offset : ids.offset + len(ids) + 1]
     return edges, memoryview(ids.buffers()[2] or b"")
 
@@ -101,7 +101,7 @@ def _packed(ids: pa.Array) -> tuple[np.ndarray, memoryview]:
 def elements(ids: pa.Array) -> list[bytes]:
     if not len(ids):
         return []
-    edges, flat = _packed(ids)
+    edges, flat = packed_parts(ids)
     return [bytes(flat[a:b]) for a, b in zip(edges.tolist(), edges[1:].tolist(), strict=False)]
 
 
