@@ -49,7 +49,8 @@ from unitflow.session import discard, fresh_path, materialise
 VOCABULARY = "byte_bpe_50k.json"
 SHARE = 100_000
 COUNTED = 200_000  # distinct words of long texts that a task counts before it hands them on
-COUNTED_BYTES = 32 << 20  # of other texts, counted together
+COUNTED_BYTES = 8 << 20  # of other texts, counted together
+ENCODED_BYTES = 4 << 20  # of texts that are encoded together
 LONG = 1 << 20  # code points from which a text is taken word by word
 WORDS_AT_ONCE = 200_000
 IDS_AT_ONCE = 1 << 18
@@ -404,7 +405,7 @@ def encode_decode(
         encoder = _encoder(tokenizer, name)
         for batch in batches:
             ids = batch.column("doc_id")
-            for part, texts in text_groups(batch.column("text")):
+            for part, texts in text_groups(batch.column("text"), ENCODED_BYTES):
                 packed = encoder.encode(texts)
                 yield pa.RecordBatch.from_arrays(
                     [
