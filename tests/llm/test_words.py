@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 
 from unitflow.llm import lexicon_bpe, token_files, words
 
+SETTLED = words.SETTLED
 WHITE = words.SPACE + "\x1c\x1f" + chr(0x200B)
 
 
@@ -99,3 +100,20 @@ def test_long_texts_and_short_ones_are_counted_alike(spark):
     counted = {r.word: r.n for r in lexicon_bpe.word_counts(docs).collect()}
     assert len(rows[0][0]) > lexicon_bpe.LONG
     assert counted == {"a": 2, " a": 200_008, " b": 200_010, "\u00a0b": 200_000, " z": 1, " ": 1}
+
+
+def test_words_of_any_script_are_coded_as_the_library_does(library):
+    rng = random.Random(7)
+    points = [c for c in range(SETTLED, 0x110000) if not 0xD800 <= c < 0xE000]
+    # unassigned and recent ones too: the two libraries need not be of one Unicode version
+    texts = ["".join(f"a{chr(c)}1{chr(c)}{chr(c)} {chr(c)}!{chr(c)}'s" for c in rng.sample(points, 4)) for _ in range(4000)]
+    want = [c.ids for c in library.encode_batch(texts, add_special_tokens=False)]
+    assert ids_of(token_files.Tokens(None).encode(texts)) == want
+
+
+def test_words_of_other_scripts_are_cut_into_pieces_that_are_remembered():
+    tokens = token_files.Tokens(None)
+    texts = [f"{a},{b}" for a in ("слово", "речь", "語言") for b in ("слово", "речь", "語言")]
+    want = [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids_of(tokens.encode(texts)) == want
+    assert set(tokens.pieces) == {"слово", "речь", "語言", ","}

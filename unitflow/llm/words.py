@@ -12,6 +12,7 @@ import os
 import re
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -155,12 +156,15 @@ class WordIds:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import public_tokenizers
+        import regex
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.pattern = re.compile(_classes(public_tokenizers.PATTERN))
+        self.any_script = regex.compile(public_tokenizers.PATTERN)
+        self.agreed: dict[str, bool] = {}
         self.letters = byte_letters(ByteLevel.alphabet())
         self.merged: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
@@ -195,16 +199,28 @@ class WordIds:
         edges = np.append(0, cuts[np.searchsorted(ends, word_ends)])
         return packed_array(edges, b"".join(packed))
 
+    def _agreed(self, point: str) -> bool:
+        """Whether the pattern takes a code point for what the tokenizer does: letter, digit, space or other."""
+        if point not in self.agreed:
+            split, find = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.any_script.findall
+            self.agreed[point] = all(
+                (len(split(before + point)) == 1) == (len(find(before + point)) == 1) for before in "a1!"
+            )
+        return self.agreed[point]
+
     def _pack_odd(self, words: list[str]) -> list[bytes]:
         held = {w: self.merged.get(w) for w in words}
         new = [w for w, ids in held.items() if ids is None]
-        # what is a letter is agreed on for old scripts only; for the rest the tokenizer has the say
-        rest = [w for w in new if not _SETTLED.fullmatch(w)]
+        later = [w for w in new if not _SETTLED.fullmatch(w)]
+        doubtful = {c for c in set().union(*later) if not self._agreed(c)}
+        # where the two differ on what is a letter, the tokenizer has the say
+        rest = [w for w in later if not doubtful.isdisjoint(w)] if doubtful else []
         coded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else []
         held.update((w, array("I", c.ids).tobytes()) for w, c in zip(rest, coded, strict=True))
-        for word in new:
-            if held[word] is None:
-                held[word] = b"".join(self._pack_pieces(self.pattern.findall(word)))
+        known = [w for w in new if held[w] is None]
+        pieces = list(map(self.any_script.findall, known))
+        packed = iter(self._pack_pieces(list(chain.from_iterable(pieces))))
+        held.update((w, b"".join(islice(packed, len(own)))) for w, own in zip(known, pieces, strict=True))
         self.merged.update((w, held[w]) for w in new if len(w) <= MAX_WORD)
         return [held[w] for w in words]
 
