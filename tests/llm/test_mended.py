@@ -127,6 +127,46 @@ def test_strings_come_by_segment(spark):
     assert len(apart) == 4 and {tuple(r.strings) for r in apart} == {tuple(r.strings) for r in got}
 
 
+def test_batches_double(spark):
+    """r03: four equal batches read two and a half times the corpus, as each scan reads all that came before."""
+    df = spark.range(80).withColumnRenamed("id", "doc_id")
+    sizes = lambda batches: [part.count() for part in runs.ascending(df, batches)]
+    assert sizes(4) == [20] * 4
+    assert sizes(suffix_dedup.BATCHES) == [10, 10, 20, 40]
+
+
+def test_blocks_hold_the_strings_that_meet(spark):
+    """r03: every string of a segment in doubt was a row of its own, most of them of no other document."""
+    rng = np.random.default_rng(3)
+    words = lambda n: "".join(map(chr, rng.integers(33, 126, n)))
+    shared, period = words(70), "ab" * 40
+    texts = [words(40) + shared + words(40) + period, words(25) + shared + words(60), period + words(30), words(300)]
+    row, start, n, anchor, _ = suffix_dedup._segments(
+        [t.encode() for t in texts], 50, suffix_dedup._Hasher(), suffix_dedup.ANCHOR, 0, 1
+    )
+    place = (start * suffix_dedup.MAX_SEGMENT + n - 1).tolist()
+    parts = [
+        [{"anchor": a, "place": p} for r, a, p in zip(row, anchor.view(np.int64).tolist(), place) if r == i]
+        for i in range(len(texts))
+    ]
+    df = spark.createDataFrame(
+        [(i, 0, t, own) for i, (t, own) in enumerate(zip(texts, parts))],
+        "doc long, version long, text string, parts array<struct<anchor: long, place: long>>",
+    )
+    found, blocks, total = {}, 0, 0
+    for r in suffix_dedup.strings(df).collect():
+        assert [b.nth for b in r.blocks] == [sum(x.n for x in r.blocks[:k]) for k in range(len(r.blocks))]
+        assert sum(b.n for b in r.blocks) == len(r.strings)
+        blocks, total = blocks + len(r.blocks), total + len(r.strings)
+        for b in r.blocks:
+            assert b.n <= suffix_dedup.BLOCK
+            for k in range(b.nth, b.nth + b.n):
+                found.setdefault(texts[r.doc][r.start + k :][:50], set()).add((r.anchor, b.seg))
+    common = {shared[i : i + 50] for i in range(21)} | {period[i : i + 50] for i in range(2)}
+    assert common <= found.keys() and all(len(keys) == 1 for keys in found.values())
+    assert blocks < total / 3
+
+
 def test_strings_of_one_anchor_are_not_one_task(spark):
     schema = "doc long, version long, text string, parts array<struct<anchor: long, place: long>>"
     df = spark.createDataFrame([(0, 0, "", [])], schema)

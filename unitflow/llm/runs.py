@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,10 +95,16 @@ class LevelledRuns:
             level += 1
 
 
-def ascending(docs: DataFrame, batches: int, key: Column | None = None) -> Iterator[DataFrame]:
-    """``docs`` in batches of about equal size, by ascending ``key`` (default: ``doc_id``, null last)."""
+def ascending(
+    docs: DataFrame, batches: int | Sequence[int], key: Column | None = None
+) -> Iterator[DataFrame]:
+    """``docs`` in batches by ascending ``key`` (default: ``doc_id``, null last).
+
+    ``batches``: how many, of about equal size, or the share of each.
+    """
     key = id_of() if key is None else key
-    at = [i / batches for i in range(1, batches)]
+    shares = [1] * batches if isinstance(batches, int) else batches
+    at = [done / sum(shares) for done in accumulate(shares[:-1])]
     cuts = docs.select(F.percentile_approx(key, at, 10_000)).first()[0] if at else []
     cuts = sorted(set(cuts or []))
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):

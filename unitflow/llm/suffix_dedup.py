@@ -5,13 +5,14 @@ sparse and hold fingerprints: of each 50-byte string the 20-byte substring with
 anchor, the starts of neighbouring strings with the same anchor are one segment, and a suffix is
 sampled at each segment, about one in sixteen bytes. Equal strings have equal anchors, so no match is lost:
 
-1. Each batch of documents, in ascending ``doc_id``, becomes an array of (anchor, segment hash,
+1. Each batch of documents, in ascending ``doc_id`` and as large as all before it, becomes an array of (anchor, segment hash,
    doc, place), sorted by the first three. It is merge-scanned with the levels: a segment that an
    earlier document has whole is removed whole. What is new becomes a level; equal levels merge, and
    the scan that reads them writes what they become.
 2. Segments with a common anchor and different content match in part or not at all. Only there are the
    50-byte strings compared one by one, for each distinct content once, at every place that the first document has it.
-   They are dealt by string, not by anchor, so that one very common anchor is no group of its strings.
+   They are dealt in blocks, by the 43 bytes that the block's strings share, not by anchor, so that one very common
+   anchor is no group of its strings. Only blocks that two documents have give a row for each string.
 
 Anchors are dealt to ``slices`` that are handled one after another, arrays and strings alike, so what is on disk
 at one time is a fraction of all. Anchors and segments are rolling 64-bit hashes from one pass of numpy over the
@@ -22,7 +23,7 @@ each batch, not for each document. Joins are equi-joins or semi-joins of two shu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -36,18 +37,25 @@ from unitflow.session import discard, materialise
 
 LENGTH = 50
 ANCHOR = 20
-BATCHES = 4  # with two runs a level, the least number with which levels merge and lie beside each other
+#: shares of the documents. A scan reads all that came before, so batches that double cost under two scans of the corpus,
+#: however many they are. With two runs a level, four are the least with which levels merge and lie beside each other
+BATCHES = (1, 1, 2, 4)
 FANOUT = 2
 SLICES = 2
-PIECE = 1 << 20  # bytes hashed at a time
+PIECE = 1 << 17  # bytes hashed at a time; eight bytes for each stay in a core's cache
 MAX_SEGMENT = 64  # string starts in a segment; longer ones (of one repeated byte, say) are cut
+STEP = 9_000  # segments whose strings are hashed at a time
+BLOCK = 8  # strings of a block at most
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(2025).integers(1, 2**63, 256).astype(np.uint64)
 #: place = start * 64 + n - 1: where the segment starts, and how many string starts it has
 _SEGMENT = "anchor long, seg long, doc long, version long, place long"
-_STRING = "anchor long, doc long, version long, start long, more array<long>, strings array<long>"
+_STRING = (
+    "anchor long, doc long, version long, start long, more array<long>, strings array<long>, "
+    "blocks array<struct<seg: long, nth: long, n: long>>"
+)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -232,17 +240,40 @@ def _runs(places: list[int]) -> tuple[np.ndarray, np.ndarray]:
     return start[head], end[np.append(head[1:], True)]
 
 
-def _lists(lengths: np.ndarray, values: np.ndarray) -> pa.ListArray:
+def _lists(lengths: np.ndarray, values: np.ndarray | pa.Array) -> pa.ListArray:
     """Lists of these lengths, null where there is nothing."""
     ends = pa.array(np.append(0, np.cumsum(lengths)), pa.int32())
-    return pa.ListArray.from_arrays(ends, pa.array(values, pa.int64()), mask=pa.array(lengths == 0))
+    values = values if isinstance(values, pa.Array) else pa.array(values, pa.int64())
+    return pa.ListArray.from_arrays(ends, values, mask=pa.array(lengths == 0))
 
 
-def strings(docs: DataFrame, length: int = LENGTH, step: int = PIECE // (MAX_SEGMENT + LENGTH)) -> DataFrame:
-    """(anchor, doc, version, start, more, strings): hashes of the strings of the segments ``parts``, (anchor, place).
+def _blocks(hasher: _Hasher, at: np.ndarray, new: np.ndarray, anchors: np.ndarray, length: int):
+    """Arrays first, n, hash of the blocks of strings that start at ``at``, segment after segment.
 
-    A text's equal segments are one row for each ``step`` places, the others' distances from ``start`` in ``more``:
-    a segment that a document repeats very often is no group of its places.
+    ``new``: which strings begin a segment; ``anchors``: the anchor at each byte. A string's offset is where it has its
+    anchor first, so equal strings have equal offsets. A block's strings have one anchor place and neighbouring
+    offsets, from a multiple of the width; its hash is of the bytes that strings of all its offsets have there.
+    """
+    width = min(BLOCK, length - ANCHOR + 1)
+    h = hasher.every(ANCHOR)
+    place = np.where(h == anchors[: len(h)], np.arange(len(h)), len(anchors))
+    place = np.minimum.accumulate(place[::-1])[::-1]
+    offset = place[at] - at
+    offset[offset > length - ANCHOR] = 0  # no anchor of this text: each string is its own block
+    block = offset // width
+    cut = new.copy()
+    cut[1:] |= (offset[1:] + 1 != offset[:-1]) | (block[1:] != block[:-1])
+    first = np.nonzero(cut)[0]
+    low = at[first] + offset[first] - block[first] * width
+    return first, np.diff(np.append(first, len(at))), hasher.some(low, low + length - width + 1)
+
+
+def strings(docs: DataFrame, length: int = LENGTH, step: int = STEP) -> DataFrame:
+    """(anchor, doc, version, start, more, strings, blocks) of the segments ``parts``, (anchor, place).
+
+    ``strings`` are the hashes of a segment's strings, ``blocks`` the n of them from the nth that are dealt together by
+    ``seg``, a hash of what they share. A text's equal segments are one row for each ``step`` places, the others'
+    distances from ``start`` in ``more``: a segment that a document repeats very often is no group of its places.
     """
 
     def run(batches):
@@ -265,7 +296,15 @@ def strings(docs: DataFrame, length: int = LENGTH, step: int = PIECE // (MAX_SEG
                 head, copies = order[first], np.diff(np.append(first, len(order)))
                 more = start[order] - np.repeat(start[head], copies)
                 n = n[head]
-                at = np.repeat(base[head] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                ends = np.cumsum(n)
+                at = np.repeat(base[head] - ends + n, n) + np.arange(n.sum())
+                new = np.zeros(len(at), dtype=bool)
+                new[ends - n] = True
+                own = np.repeat(anchors[low : low + step].view(np.uint64), size)
+                block, held, core = _blocks(hasher, at, new, own, length)
+                of = np.searchsorted(ends, block, "right")
+                nth = block - (ends - n)[of]
+                shared = [pa.array(x) for x in (core.view(np.int64), nth, held)]
                 yield from _emit(
                     {
                         "anchor": anchors[low + head],
@@ -274,6 +313,9 @@ def strings(docs: DataFrame, length: int = LENGTH, step: int = PIECE // (MAX_SEG
                         "start": start[head],
                         "more": _lists(copies - 1, np.delete(more, first)),
                         "strings": _lists(n, hasher.some(at, at + length).view(np.int64)),
+                        "blocks": _lists(
+                            np.bincount(of, minlength=len(n)), pa.StructArray.from_arrays(shared, ["seg", "nth", "n"])
+                        ),
                     },
                     step=20_000,
                 )
@@ -338,14 +380,22 @@ def _compared(docs: DataFrame, doubt: DataFrame, length: int) -> DataFrame:
     """Places of the strings in ``doubt`` that a smaller document has."""
     # each distinct content once, so a string that very many documents share is not a group of theirs
     parts = _grouped(doubt, F.struct("anchor", "place"))
-    one_by_one = strings(docs.join(parts, ["doc", "version"]), length).select(
-        "anchor", "doc", "version", "start", "more", F.posexplode("strings").alias("nth", "seg")
+    found = strings(docs.join(parts, ["doc", "version"]), length)
+    block = found.select("anchor", "doc", "version", "start", "more", "strings", F.explode("blocks").alias("of")).select(
+        *("anchor", "of.seg", "doc", "version", "more"),
+        (F.col("start") + F.col("of.nth")).alias("start"),
+        F.slice("strings", (F.col("of.nth") + 1).cast("int"), F.col("of.n").cast("int")).alias("strings"),
+    )
+    # sorted by the block first: very many have one anchor, and a sort compares its first column at once
+    together = Window.partitionBy("seg", "anchor")
+    met = block.withColumns({"least": F.min("doc").over(together), "most": F.max("doc").over(together)})
+    one_by_one = met.where("least < most").select(
+        *_KEY, "doc", "version", "start", "more", F.posexplode("strings").alias("nth", "string")
     )
     place = ((F.col("start") + F.col("nth")) * MAX_SEGMENT).alias("place")
-    # sorted by the string first: very many strings have one anchor, and a sort compares its first column at once
-    same = Window.partitionBy("seg", "anchor")
+    same = Window.partitionBy("seg", "anchor", "string")  # dealt as blocks are
     again = (
-        one_by_one.select(*_KEY, "doc", "version", place, "more")
+        one_by_one.select(*_KEY, "string", "doc", "version", place, "more")
         .withColumn("first", F.min("doc").over(same))
         .where("first < doc")
     )
@@ -357,14 +407,15 @@ def _compared(docs: DataFrame, doubt: DataFrame, length: int) -> DataFrame:
 def repeated_strings(
     docs: DataFrame,
     length: int = LENGTH,
-    batches: int = BATCHES,
+    batches: int | Sequence[int] = BATCHES,
     fanout: int = FANOUT,
     slices: int = SLICES,
 ) -> DataFrame:
     """(doc, version, parts): starts of ``length``-byte strings that a smaller ``doc`` has, by text.
 
     ``docs``: doc, version, text. ``parts`` are places: each names n neighbouring starts (``_places``), and they
-    may overlap. The result is a written table; all others are deleted when it is there.
+    may overlap. ``batches``: how many of equal size, or their shares. The result is a written table; all others are
+    deleted when it is there.
     """
     places = []
     for k in range(slices):
@@ -416,7 +467,7 @@ def _removed(length: int):
 def remove_repeats(
     docs: DataFrame,
     length: int = LENGTH,
-    batches: int = BATCHES,
+    batches: int | Sequence[int] = BATCHES,
     fanout: int = FANOUT,
     slices: int = SLICES,
 ) -> DataFrame:
