@@ -11,7 +11,7 @@ sampled at each segment, about one in sixteen bytes. Equal strings have equal an
    the scan that reads them writes what they become.
 2. Segments with a common anchor and different content match in part or not at all. Only there are the
    50-byte strings compared one by one, for each distinct content once, at every place that the first document has it.
-   They are dealt in blocks, by the 43 bytes that the block's strings share, not by anchor, so that one very common
+   They are dealt in blocks, by the 47 bytes that the block's strings share, not by anchor, so that one very common
    anchor is no group of its strings. Only blocks that two documents have give a row for each string.
 
 Anchors are dealt to ``slices`` that are handled one after another, arrays and strings alike, so what is on disk
@@ -45,7 +45,7 @@ SLICES = 2
 PIECE = 1 << 17  # bytes hashed at a time; eight bytes for each stay in a core's cache
 MAX_SEGMENT = 64  # string starts in a segment; longer ones (of one repeated byte, say) are cut
 STEP = 9_000  # segments whose strings are hashed at a time
-BLOCK = 8  # strings of a block at most
+BLOCK = 4  # strings of a block at most; what very many documents share comes to one task that many times
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -426,9 +426,12 @@ def repeated_strings(
             own.append(_add_batch(levels, array, last=i == len(parts) - 1))
         levels.drop()
         again = _compared(docs, _of(DOUBT, own, "anchor", *_PLACE), length)
-        places.append(materialise(again.union(_of(GONE, own, *_PLACE)), "places"))
+        places.append(materialise(_grouped(again.union(_of(GONE, own, *_PLACE)), F.col("place")), "places"))
         discard(*own)
-    found = materialise(_grouped(reduce(DataFrame.union, places), F.col("place")), "repeats")
+    if slices == 1:
+        return places[0]
+    every = reduce(DataFrame.union, places).groupBy("doc", "version")
+    found = materialise(every.agg(F.flatten(F.collect_list("parts")).alias("parts")), "repeats")
     discard(*places)
     return found
 
