@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from unitflow.functions.text import final_text, replace_runs, strip_ws
@@ -24,14 +24,14 @@ PART_UNITS = 4096  # most pieces that one collected text is made of
 BODY, IMAGE = 0, 1  # at the same height text comes before images
 
 
-def write_back(paras: DataFrame, units: DataFrame) -> DataFrame:
+def write_back(paras: DataFrame, units: DataFrame, new: Column | None = None) -> DataFrame:
     """Paragraphs with translated runs; those without a translation stay as they are.
 
-    Joined on the true paragraph number, which is unique on both sides: no hot key.
+    Joined on the true paragraph number, which is unique on both sides: no hot key. ``new``: the final text of a unit,
+    where it is not to be made from ``translated`` and ``text``.
     """
-    done = units.select(
-        "doc_id", "para_idx", final_text(F.col("translated"), F.col("text")).alias("_new")
-    )
+    new = final_text(F.col("translated"), F.col("text")) if new is None else new
+    done = units.select("doc_id", "para_idx", new.alias("_new"))
     return (
         paras.join(done, ["doc_id", "para_idx"], "left")
         .withColumn(

@@ -85,28 +85,45 @@ def _ends(text: Column) -> dict[str, Column]:
     return {"_lead": F.when(blank, text).otherwise(lead), "_trail": F.when(blank, "").otherwise(trail)}
 
 
+def counted_documents(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """A table of one row per document with ``_copies``, the number of its ``rows``; written."""
+    counts = rows.groupBy("doc_id").agg(F.count("*").alias("_copies"))
+    return materialise(counts.join(table, "doc_id"), "documents")
+
+
 def with_document_columns(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Join a table of one row per document to rows of any kind.
 
     Each document's row count travels with its row of the table, so that a document with a large
     share of all rows is salted. Rows of documents that the table does not list are dropped.
     """
-    counts = rows.groupBy("doc_id").agg(F.count("*").alias("_copies"))
-    return join_copies(rows, materialise(counts.join(table, "doc_id"), "documents"), ["doc_id"])
+    return join_copies(rows, counted_documents(rows, table), ["doc_id"])
+
+
+def voted_documents(units: DataFrame, opts: Options = Options(), table: DataFrame | None = None) -> DataFrame | None:
+    """(doc_id, _copies, src_lang, ...) of each document by its vote, written; None where the job takes no vote."""
+    if pinned_source(opts.source) or opts.mode == "per_unit":
+        return None
+    votes = document_source(units, opts.vote_head, detector=opts.profiles).select("doc_id", "src_lang")
+    return counted_documents(units, votes if table is None else votes.join(table, "doc_id"))
 
 
 def with_voted_source(
-    units: DataFrame, opts: Options = Options(), table: DataFrame | None = None
+    units: DataFrame,
+    opts: Options = Options(),
+    table: DataFrame | None = None,
+    voted: DataFrame | None = None,
 ) -> DataFrame:
     """Units with ``src_lang`` by the job's mode; a vote is joined back per document.
 
-    ``table``: one row per document, whose columns come along in the same join.
+    ``table``: one row per document, whose columns come along in the same join. ``voted``: their ``voted_documents``,
+    where the caller has them.
     """
-    if pinned_source(opts.source) or opts.mode == "per_unit":
-        given = units if table is None else with_document_columns(units, table)
-        return with_unit_source(given, opts.source, opts.profiles)
-    votes = document_source(units, opts.vote_head, detector=opts.profiles).select("doc_id", "src_lang")
-    return with_document_columns(units, votes if table is None else votes.join(table, "doc_id"))
+    voted = voted_documents(units, opts, table) if voted is None else voted
+    if voted is not None:
+        return join_copies(units, voted, ["doc_id"])
+    given = units if table is None else with_document_columns(units, table)
+    return with_unit_source(given, opts.source, opts.profiles)
 
 
 def document_outcomes(docs: DataFrame, done: DataFrame, opts: Options = Options()) -> DataFrame:
@@ -139,14 +156,24 @@ def translate_paras(
     opts: Options = Options(),
     batch: str | None = None,
     units: DataFrame | None = None,
+    voted: DataFrame | None = None,
 ) -> DataFrame:
     """Paragraph table (doc_id, para_idx, loc, runs) with translated runs.
 
     Numbering and write-back both read the paragraphs, so a scan of DOCX files is written first and parsed once.
-    ``units``: their written ``paragraph_units``, where the caller has them.
+    ``units``: their written ``paragraph_units``, and ``voted`` the ``voted_documents`` of these, where the caller has
+    them.
     """
     paras = written_once(paras, "paras")
-    units = with_voted_source(materialise(paragraph_units(paras), "units") if units is None else units, opts)
+    units = materialise(paragraph_units(paras), "units") if units is None else units
+    units = with_voted_source(units, opts, voted=voted)
+    if own_in_table(opts):
+        # a paragraph goes to its translation without its text, and on to its runs without being written
+        place = units.select("doc_id", "para_idx", "text", "src_lang").withColumns(_ends(F.col("text")))
+        done = translate_distinct(place, make_translator, opts, own=True)
+        own = F.concat("_lead", F.coalesce("_own", F.lit("")), "_trail")
+        new = F.when(F.col("translated") != "", normalize_uz(F.col("translated"))).otherwise(own)
+        return write_back(paras, done, new)
     done = materialise(translate_units(units, make_translator, opts, batch=batch), "units")
     return write_back(paras, done)
 

@@ -42,7 +42,8 @@ def documents(
 ) -> DataFrame:
     """(doc_id, text, ...) with a derived text, spread over the cores."""
     columns = ["doc_id", "text"] + [c for c in ("lang", "source") if any(c in m for m in more)]
-    docs = spread(table(spark, sf_dir, "documents", *columns), "doc_id", even=even)
+    given = table(spark, sf_dir, "documents", *columns)
+    docs = spread(given, "doc_id") if even == 1 else spread(given, "doc_id", even=even)
     return docs.selectExpr("doc_id", f"{expr} as text", *more)
 
 
